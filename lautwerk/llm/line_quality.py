@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SEPARATOR_CHARS, SEPARATORS, broadcast_if_small, durable, words
+from ._shared import SEPARATOR_CHARS, broadcast_if_small, durable, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -32,91 +32,129 @@ MAX_SHARE = 0.10
 MIN_KEPT_PERCENT = 30
 #: Common lines up to which their table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
+#: Windows of a text up to which hash and place are packed into one long.
+PACKED_WINDOWS = 1 << 20
 #: Characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
 
 
-def repeat_words(tokens: Column) -> Column:
+def window_hashes(tokens: Column) -> Column:
+    """A 64-bit hash for each 3-word window, in order."""
+    last = F.size(tokens) - 3
+    hashes = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2)),
+    )
+    return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(hashes)
+
+
+def repeat_words(hashes: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text, the first occurrence included.
 
-    Windows are hashed, paired with their place and sorted; those equal to a neighbour repeat. The
-    places of these, sorted again, cover ``min(3, gap to the next)`` words each.
+    Takes ``window_hashes``. Most texts have no equal windows, which a set of the hashes shows at once.
+    Else the hashes are sorted with their places, packed into longs if the text is short enough; places
+    equal to a neighbour, sorted again, cover ``min(3, gap to the next)`` words each.
     """
-    n = F.size(tokens)
-    windows = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        lambda i: F.struct(
-            F.xxhash64(F.get(tokens, i - 1), F.get(tokens, i), F.get(tokens, i + 1)).alias("h"), i.alias("i")
-        ),
+    return (
+        F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0))
+        .when(F.size(hashes) < PACKED_WINDOWS, _covered(_repeated_packed(hashes)))
+        .otherwise(_covered(_repeated_pairs(hashes)))
     )
-    return F.when(n < 4, F.lit(0)).otherwise(_covered(F.sort_array(windows)))
 
 
-def _covered(ordered: Column) -> Column:
-    # each step sees its input once, as a lambda's variable
-    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+def _once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once, as a lambda's variable."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _repeated_packed(hashes: Column) -> Column:
+    # 44 bits of the hash and the place; neighbours that agree are compared by their full hashes
+    packed = F.transform(hashes, lambda h, i: h.bitwiseAND(-PACKED_WINDOWS).bitwiseOR(i.cast("bigint")))
+
+    def places(ordered: Column) -> Column:
+        place = lambda x: x.bitwiseAND(PACKED_WINDOWS - 1).cast("int")
+
+        def same(x: Column, other: Column) -> Column:
+            near = x.bitwiseXOR(other).bitwiseAND(-PACKED_WINDOWS) == 0
+            return F.coalesce(near & (F.get(hashes, place(x)) == F.get(hashes, place(other))), F.lit(False))
+
+        hit = F.filter(ordered, lambda x, i: same(x, F.get(ordered, i + 1)) | same(x, F.get(ordered, i - 1)))
+        return F.sort_array(F.transform(hit, place))
+
+    return _once(F.sort_array(packed), places)
+
 
-    def repeated(pairs: Column) -> Column:
-        same = lambda i, k: F.coalesce(F.get(pairs, i + k)["h"] == F.get(pairs, i)["h"], F.lit(False))
-        hit = F.filter(pairs, lambda p, i: F.coalesce(F.get(pairs, i + 1)["h"] == p["h"], F.lit(False)) | same(i, -1))
-        return F.sort_array(F.transform(hit, lambda p: p["i"]))
+def _repeated_pairs(hashes: Column) -> Column:
+    pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
 
-    def covered(places: Column) -> Column:
-        gaps = F.transform(places, lambda p, i: F.least(F.coalesce(F.get(places, i + 1) - p, F.lit(3)), F.lit(3)))
+    def places(ordered: Column) -> Column:
+        same = lambda x, k: F.coalesce(F.get(ordered, k)["h"] == x["h"], F.lit(False))
+        hit = F.filter(ordered, lambda x, i: same(x, i + 1) | same(x, i - 1))
+        return F.sort_array(F.transform(hit, lambda x: x["i"]))
+
+    return _once(F.sort_array(pairs), places)
+
+
+def _covered(places: Column) -> Column:
+    def total(p: Column) -> Column:
+        gaps = F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1) - x, F.lit(3)), F.lit(3)))
         return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
-    return once(once(ordered, repeated), covered)
+    return _once(places, total)
 
 
-def base_stats(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, text_hash`` and the base figures of each row."""
+def measured(docs: DataFrame) -> DataFrame:
+    """``doc_id source text_hash``, the base figures and ``lines``, an array of ``struct<h, n>``:
+    the hash of each normalised line and its words. The only step that reads texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    bare = F.regexp_replace(text, SEPARATORS, "")
+    spaced = text
+    for c in "\t\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    single = F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
+    normal = F.filter(F.transform(F.split(F.lower(single), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    n_spaces = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit("")))
     filled = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SEPARATOR_CHARS)) != "")
-    tokens = docs.select(
-        "doc_id", "source", F.xxhash64(text).alias("text_hash"), words(F.col("text")).alias("w"),
-        F.char_length(bare).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        filled.alias("lines"),
-    )
-    return tokens.select(
-        "doc_id",
-        "source",
-        "text_hash",
-        F.size("w").cast("long").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("w")).cast("long").alias("n_repeat_words"),
+    return (
+        docs.select(
+            "doc_id",
+            "source",
+            F.xxhash64(text).alias("text_hash"),
+            words(F.col("text")).alias("w"),
+            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            filled.alias("filled"),
+            F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("h"), (n_spaces(x) + 1).alias("n"))).alias("lines"),
+        )
+        .withColumn("hashes", window_hashes(F.col("w")))
+        .select(
+            "doc_id",
+            "source",
+            "text_hash",
+            F.size("w").cast("long").alias("n_words"),
+            F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
+            "n_symbols",
+            (F.size("filled") - F.size(F.array_distinct("filled"))).cast("long").alias("n_dup_lines"),
+            repeat_words(F.col("hashes")).cast("long").alias("n_repeat_words"),
+            "lines",
+        )
     )
 
 
-def common_lines(
-    docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE
-) -> tuple[DataFrame, DataFrame]:
-    """All lines ``doc_id, source, text_hash, at, line, n`` (n: words in the line) and the common ones by host."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    line = lambda x: F.lower(F.regexp_replace(F.btrim(x, F.lit(SEPARATOR_CHARS)), SEPARATORS, " "))
-    lines = docs.select(
-        "doc_id", "source", F.xxhash64(text).alias("text_hash"), F.posexplode(F.transform(F.split(text, "\n"), line)).alias("at", "l")
-    ).filter("l <> ''")
-    lines = lines.select(
-        "doc_id", "source", "text_hash", "at", F.xxhash64("l").alias("line"), F.size(F.split("l", " ")).alias("n")
-    )
+def common_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """The lines above their host's limit, ``line_host, line_hash``, from ``measured`` rows."""
     counts = (
-        lines.select("source", "line", "text_hash").distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs"))
+        rows.select("source", "text_hash", F.explode("lines.h").alias("line"))
+        .distinct()
+        .groupBy("source", "line")
+        .agg(F.count(F.lit(1)).alias("docs"))
     )
     hosts = (
-        docs.select("source", F.xxhash64(text).alias("text_hash"))
-        .distinct()
-        .groupBy(F.col("source").alias("host")).agg(F.count(F.lit(1)).alias("all_docs"))
-    )
+        rows.select(F.col("source").alias("host"), "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
+    )
     frequent = counts.filter(F.col("docs") > min_docs)
     above = frequent.join(hosts, F.col("source").eqNullSafe(F.col("host"))).filter(
         F.col("docs") > F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("all_docs"))
     )
-    common = durable(above.select(F.col("source").alias("line_host"), F.col("line").alias("line_hash")), "common-lines")
-    return lines, broadcast_if_small(common, BROADCAST_ROWS)
+    return above.select(F.col("source").alias("line_host"), F.col("line").alias("line_hash"))
 
 
 def judge(
@@ -129,21 +167,26 @@ def judge(
     min_kept_percent: int = MIN_KEPT_PERCENT,
 ) -> DataFrame:
     """One row per document: the base figures, ``base_failed``, ``removed_words`` and ``kept``."""
-    lines, common = common_lines(docs, min_docs, max_share)
+    rows = durable(measured(docs), "line-quality")
+    common = broadcast_if_small(durable(common_lines(rows, min_docs, max_share), "common-lines"), BROADCAST_ROWS)
     removed = (
-        lines.join(common, F.col("source").eqNullSafe(F.col("line_host")) & (F.col("line") == F.col("line_hash")))
+        rows.select("doc_id", "source", "text_hash", F.posexplode("lines").alias("at", "line"))
+        .join(common, F.col("source").eqNullSafe(F.col("line_host")) & (F.col("line.h") == F.col("line_hash")))
         .dropDuplicates(["doc_id", "source", "text_hash", "at"])  # of rows repeated whole, one
         .groupBy(F.col("doc_id").alias("r_id"), F.col("source").alias("r_source"), F.col("text_hash").alias("r_hash"))
-        .agg(F.sum("n").alias("removed"))
+        .agg(F.sum("line.n").alias("removed"))
+    )
+    joined = (
+        rows.drop("lines")
+        .join(
+            removed,
+            F.col("doc_id").eqNullSafe(F.col("r_id"))
+            & F.col("source").eqNullSafe(F.col("r_source"))
+            & (F.col("text_hash") == F.col("r_hash")),
+            "left",
+        )
+        .drop("r_id", "r_source", "r_hash")
     )
-    stats = base_stats(docs)
-    joined = stats.join(
-        removed,
-        F.col("doc_id").eqNullSafe(F.col("r_id"))
-        & F.col("source").eqNullSafe(F.col("r_source"))
-        & (F.col("text_hash") == F.col("r_hash")),
-        "left",
-    ).drop("r_id", "r_source", "r_hash")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     return (
