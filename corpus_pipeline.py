@@ -1,8 +1,74 @@
-"""Stages of a training-data pipeline."""
+"""A training-data pipeline of five stages over ``documents``.
 
-STAGES = []
+Each stage reads what the stage before it wrote and applies one operator of ``lautwerk.llm``. All but the
+last return the columns of ``documents``; the last returns token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lautwerk.llm import importance, line_quality, mixing, parity_join, piece_codec
+from lautwerk.llm._shared import durable, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = line_quality.judge(docs).filter("kept").select("doc_id", "source", "text_hash").distinct()
+    names = {"doc_id": "k_id", "source": "k_source", "text_hash": "k_hash"}
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("k_id"))
+        & F.col("source").eqNullSafe(F.col("k_source"))
+        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("k_hash"))
+    )
+    return docs.join(judged.withColumnsRenamed(names), same, "left_semi").select(*COLUMNS)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps."""
+    kept = importance.classify(docs, table(spark, sf_dir, "labels")).filter("kept").select(F.col("doc_id").alias("k_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that n-gram similarity links: that with the smallest id."""
+    first = parity_join.link(docs).filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("k_id"))
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi").select(*COLUMNS)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources, documents repeated as often as it takes them."""
+    mixed = durable(mixing.expand(docs, mixing.mix(docs)).select(*COLUMNS), "mix")
+    return mixed.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document of the mix its token ids."""
+    ids = piece_codec.encode(F.col("text"), piece_codec.model_path())
+    coded = docs.select("doc_id", "source", ids.alias("ids"))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("source_mixing", source_mixing),
+    ("piece_encoding", piece_encoding),
+]
+
+#: None: importance resampling, the similarity join and the piece codec have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other, each on what the one before wrote."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = durable(docs, f"stage-{name}")
+    return docs
