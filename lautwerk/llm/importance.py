@@ -34,7 +34,7 @@ BUCKETS = 1 << 16
 SMOOTHING = 1.0
 LABELLED_ROWS = 50_000
 #: The part of the documents beyond the share of good ones that is kept too.
-SLACK = 0.25
+SLACK = 0.05
 BINS = 1024
 #: Rows of the last histogram bin that are ordered at once.
 LAST_ROWS = 10_000
