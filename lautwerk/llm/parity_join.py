@@ -17,8 +17,10 @@ lower-cased. Two documents link if their sets' Jaccard similarity is at least 75
    one lane are paired; longer runs link to one hub each, and further rounds pair what
    the links found so far leave in several components, so dense groups of near copies cost a star
    instead of all pairs; the last round pairs all that is left.
-5. Verify. Candidate pairs are checked on the exact sets of whole texts; verified links become components by
-   alternating large and small stars.
+5. Verify. Each document also has a sketch of single bits, about four to eight per shingle, that hold
+   the parity of the shingles hashed to them. Their Hamming distance bounds the symmetric difference from below, so a
+   pair whose distance is above the bound is no link. The rest are checked on the exact sets of whole
+   texts. Verified links become components by alternating large and small stars.
 
 Edge cases: null, empty and blank texts have no shingles, link with nothing and are their own component. Rows
 repeated with one id count as one document. Null ids link with nothing and have a null component. Very
@@ -28,6 +30,7 @@ long texts are hashed in chunks. An empty table gives an empty result. Only ``do
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +111,21 @@ def given_lanes(found: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate(lanes)
 
 
+def parity_bits(found: np.ndarray) -> bytes:
+    """Bits with the parity of the shingles hashed to each; a power of two of them, at least four per shingle."""
+    size = 1 << max(6, (4 * len(found) - 1).bit_length())
+    place = (mix(found + _BAND_SEED) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def bit_distance(x: bytes, y: bytes) -> int:
+    """The Hamming distance; a longer sketch is folded onto the places of the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size = min(len(a), len(b))
+    fold = lambda v: np.bitwise_xor.reduce(v.reshape(-1, size), axis=0)
+    return int(np.bitwise_count(fold(a) ^ fold(b)).sum())
+
+
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of many sampled sets, sorted, and their frequency classes (1 and up, by powers of 2)."""
     n = docs.count()
@@ -135,15 +153,14 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, h1, h2, lanes``: a set's size, 128 bits that name it, and the lanes it gives."""
+    """``doc_id, n_shingles, h1, h2, lanes, bits``: a set's size, 128 bits that name it, the lanes it gives, its sketch."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
 
     def sketch(batches):
         often, rank = frequent.value
         for batch in batches:
-            out = ([], [], [], [], [])
-            held = 0
+            out, held = ([], [], [], [], [], []), 0
             for doc, found in _sets(batch):
                 if len(often):
                     at = np.minimum(np.searchsorted(often, found), len(often) - 1)
@@ -156,19 +173,20 @@ def sketches(docs: DataFrame) -> DataFrame:
                 out[2].append(int(mix(found ^ _BAND_SEED).sum(dtype=np.uint64).view(np.int64)))
                 out[3].append(int(mix(found + _ODD).sum(dtype=np.uint64).view(np.int64)))
                 out[4].append(lanes.tobytes())
-                held += lanes.nbytes
+                out[5].append(parity_bits(found))
+                held += lanes.nbytes + len(found)
                 if held > 8 << 20:
                     yield _sketch_batch(out)
-                    out, held = ([], [], [], [], []), 0
+                    out, held = ([], [], [], [], [], []), 0
             yield _sketch_batch(out)
 
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long, lanes binary")
+    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long, lanes binary, bits binary")
 
 
 def _sketch_batch(out) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "n_shingles", "h1", "h2", "lanes"]
+        [pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "n_shingles", "h1", "h2", "lanes", "bits"]
     )
 
 
@@ -280,8 +298,33 @@ def exact_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return picked.select("doc_id", "text").mapInArrow(sets, "id long, found array<bigint>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link, checked on the exact sets."""
+def _close(batches):
+    for batch in batches:
+        a, b, sizes_a, x, sizes_b, y = (c.to_pylist() for c in batch.columns)
+        kept = [
+            k
+            for k in range(len(a))
+            if bit_distance(x[k], y[k]) * (100 + PERCENT) <= (sizes_a[k] + sizes_b[k]) * (100 - PERCENT)
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([a[k] for k in kept], pa.int64()), pa.array([b[k] for k in kept], pa.int64())], ["a", "b"]
+        )
+
+
+def close_pairs(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sketches are near enough for a link."""
+    sized = sketched.filter("n_shingles > 0").select("doc_id", "n_shingles", "bits")
+    left = sized.withColumnsRenamed({"doc_id": "a", "n_shingles": "size_a", "bits": "bits_a"})
+    right = sized.withColumnsRenamed({"doc_id": "b", "n_shingles": "size_b", "bits": "bits_b"})
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "bits_a", "size_b", "bits_b")
+    return both.mapInArrow(_close, "a long, b long").distinct()
+
+
+def verified(docs: DataFrame, sketched: DataFrame, candidates: DataFrame) -> DataFrame | None:
+    """The pairs ``a, b`` of ``candidates`` that link, checked on sketches, then on the exact sets; None for none."""
+    pairs = durable(close_pairs(sketched, candidates), "parity-close")
+    if not pairs.take(1):
+        return None
     ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "parity-ids")
     sets = durable(exact_sets(docs, ids), "parity-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a").join(
@@ -289,7 +332,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - F.col("common")
-    return both.withColumn("common", common).filter(100 * F.col("common") >= PERCENT * union).select("a", "b")
+    linked = both.withColumn("common", common).filter(100 * F.col("common") >= PERCENT * union).select("a", "b")
+    return durable(linked.distinct(), "parity-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -314,18 +358,22 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _left_over(runs: DataFrame, labels: DataFrame, round_: int) -> DataFrame:
+def _left_over(runs: DataFrame, labels: DataFrame | None, round_: int) -> DataFrame:
     """Pairs of long runs that are still in several components: with one more hub each, or in the last round all."""
-    placed = runs.join(labels.select(F.col("id").alias("a"), "component"), "a", "left").withColumn(
-        "component", F.coalesce("component", F.col("a"))
-    )
+    if labels is None:
+        placed = runs.withColumn("component", F.col("a"))
+    else:
+        placed = runs.join(labels.select(F.col("id").alias("a"), "component"), "a", "left").withColumn(
+            "component", F.coalesce("component", "a")
+        )
     spread = placed.groupBy("run").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
     open_ = durable(placed.join(spread.select("run"), "run"), "parity-open")
     if round_ < ROUNDS - 1:
         # a hub that differs from round to round: first the smallest id, then one by hash
         by = F.col("a") if round_ == 0 else F.xxhash64("a", F.lit(round_))
         other = open_.groupBy("run").agg(F.min_by(F.struct("a", "component", "size"), by).alias("hub"))
-        pairs = open_.join(other, "run").select("a", "component", "size", F.col("hub.a").alias("b"), F.col("hub.component").alias("c"), F.col("hub.size").alias("s"))
+        hub = (F.col("hub.a").alias("b"), F.col("hub.component").alias("c"), F.col("hub.size").alias("s"))
+        pairs = open_.join(other, "run").select("a", "component", "size", *hub)
     else:
         right = open_.select("run", F.col("a").alias("b"), F.col("component").alias("c"), F.col("size").alias("s"))
         pairs = open_.join(right, "run").filter("a < b")
@@ -353,24 +401,25 @@ def link(docs: DataFrame) -> DataFrame:
     )
     runs = found.filter("run is not null").select("run", "a", "size")
     tested = durable(found.filter("run is null").select("a", "b").distinct(), "parity-pairs")
-    links = durable(verified(docs, tested), "parity-links")
-    labels = components(links)
+    links = verified(docs, sketched, tested)
+    labels = None if links is None else components(links)
     for round_ in range(ROUNDS):
         if not runs.take(1):
             break
-        more = durable(_left_over(runs, labels, round_).distinct().join(tested, ["a", "b"], "left_anti"), "parity-pairs")
-        if not more.take(1):
-            if round_ < ROUNDS - 1:
-                continue
-            break
-        fresh = verified(docs, more)
+        more = _left_over(runs, labels, round_).distinct().join(tested, ["a", "b"], "left_anti")
+        more = durable(more, "parity-pairs")
+        fresh = verified(docs, sketched, more)
         tested = tested.unionByName(more)
-        # the stars found so far stand for the links found so far
-        stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        labels = components(stars.unionByName(fresh))
+        if fresh is not None:
+            # the stars found so far stand for the links found so far
+            stars = [labels.select(F.col("id").alias("a"), F.col("component").alias("b"))] if labels else []
+            labels = components(reduce(DataFrame.unionByName, stars, fresh))
     reps = classes.select("h1", "h2", "n_shingles", "rep")
     named = sketched.select("doc_id", "n_shingles", "h1", "h2").join(reps, ["h1", "h2", "n_shingles"], "left")
-    out = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    if labels is None:
+        out = named.withColumn("component", F.col("rep"))
+    else:
+        out = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
