@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, importance, line_quality, mixing, parity_join, piece_codec, sharding, token_counts, url_filter
+from . import chat_format, image_copies, importance, line_quality, mixing, parity_join, piece_codec, sharding, token_counts, url_filter
 from ._shared import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_importance_resampling": importance.query,
         "op2_sharding": sharding.query,
+        "op3_image_copies": image_copies.query,
         "op4_token_counts": lambda s, d: token_counts.query(table(s, d, "documents")),
         "op5_jaccard_join": lambda s, d: parity_join.query(table(s, d, "documents")),
         "op6_chat_formatting": lambda s, d: chat_format.query(table(s, d, "conversations")),
