@@ -47,8 +47,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document of the mix its token ids."""
-    ids = piece_codec.encode(F.col("text"), piece_codec.model_path())
-    coded = docs.select("doc_id", "source", ids.alias("ids"))
+    coded = piece_codec.coded(docs.select("doc_id", "source", "text"), piece_codec.model_path())
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 

@@ -11,10 +11,10 @@ costs one joint penalty if it follows a piece it would not stay apart from, and
 and the merges' result is the only path that costs nothing. If no path is free, the path with the
 fewest penalties wins, then the fewest pieces. In a unigram model an arc costs its piece's negative score.
 
-No piece goes from other characters into U+2581 (this is checked when compiling), nor into or out of a
-character that only occurs alone, so a text's path is that of its units, one after the other. Units
-are kept in a bounded cache of the worker. Decoding joins the pieces' texts, bytes first, and
-takes off the dummy prefix.
+No arc spans two neighbouring characters that are neighbours in no piece, so a text is cut at all such places
+into units, and its path is that of its units, one after the other. A unit that is one piece is subject to the same
+rule: the piece must be what its own merges make. Units are kept in a bounded cache of the worker.
+Decoding joins the pieces' texts, bytes first, and takes off the dummy prefix.
 
 Edge cases: null and empty texts have no pieces and decode to empty. Very long units cost time and memory in
 proportion to their length. U+2581 in a text decodes to a space, as in the library. Rows are
@@ -27,15 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # kinds of pieces in a model file
 BPE = 2
 #: Entries of a worker's caches, after which they begin anew, and the longest unit kept.
-UNITS, JOINTS, UNIT_CHARS = 1 << 19, 1 << 20, 64
+UNITS, JOINTS, UNIT_CHARS = 1 << 18, 1 << 18, 64
+#: Bytes of ids and texts that ``coded`` holds before it passes them on.
+HELD_BYTES = 2 << 20
 
 
 class Transducer:
@@ -55,23 +59,24 @@ class Transducer:
         self.bytes = {int(p.piece[1:-1], 16): k for k, p in enumerate(model.pieces) if p.type == BYTE}
         self.unknown = next(k for k, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.ids = {text: k for text, (k, _) in self.arcs.items()}
-        self.prefixes = {text[:k] for text in self.arcs for k in range(1, len(text) + 1)}
+        self.starts = {text[:k]: -1 for text in self.arcs for k in range(1, len(text) + 1)} | self.ids  # -1: no piece itself
         self.longest = max(map(len, self.arcs))
+        # per character its class, 0 for those in no piece of several; per two classes whether they are neighbours in one
+        pairs = {p[k : k + 2] for p in self.arcs for k in range(len(p) - 1)}
+        inner = sorted(map(ord, set("".join(pairs))))
+        self.classes = np.zeros(max(inner, default=0) + 2, np.int32)
+        self.classes[inner] = np.arange(1, len(inner) + 1)
+        self.near = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for a, b in pairs:
+            self.near[self.classes[ord(a)], self.classes[ord(b)]] = True
         surface = [p.piece.replace(SPACE, " ").encode() if p.type in (NORMAL, USER) else b"" for p in model.pieces]
         for b, k in self.bytes.items():
             surface[k] = bytes([b])
         if not self.bytes:
             surface[self.unknown] = " ⁇ ".encode()
         self.surface = surface
-        inner = set("".join(p for p in self.arcs if len(p) > 1))
-        if any(a != SPACE and b == SPACE for p in self.arcs for a, b in zip(p, p[1:], strict=False)):
-            self.find = None  # pieces cross words: a text is one unit
-        elif "\n" in inner:
-            self.find = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
-        else:
-            self.find = regex.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
         self.units: dict[str, bytes] = {}
-        self.joints: dict[tuple[int, int], bool] = {}
+        self.joints: dict[int, bool] = {}
 
     # --- the normaliser
 
@@ -84,6 +89,13 @@ class Transducer:
             text = " " + text
         return text.replace(" ", SPACE) if self.escapes else text
 
+    def cut(self, text: str) -> list[str]:
+        """The units of a normal text."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.classes[np.minimum(points, len(self.classes) - 1)]
+        cuts = (np.flatnonzero(~self.near[kinds[:-1], kinds[1:]]) + 1).tolist()
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+
     # --- weights
 
     def merged(self, text: str) -> list[str]:
@@ -100,12 +112,12 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def apart(self, left: int, right: int) -> bool:
-        """Whether two neighbouring pieces stay two under the merges."""
-        key = (left, right)
+        """Whether two neighbouring pieces stay two under the merges; with -1, whether the right one stays one."""
+        key = left * len(self.texts) + right
         kept = self.joints.get(key)
         if kept is None:
-            a, b = self.texts[left], self.texts[right]
-            kept = self.merged(a + b) == [a, b]
+            parts = [self.texts[k] for k in (left, right) if k >= 0]
+            kept = self.merged("".join(parts)) == parts
             if len(self.joints) >= JOINTS:
                 self.joints.clear()
             self.joints[key] = kept
@@ -119,7 +131,7 @@ class Transducer:
 
     def _free_path(self, unit: str) -> list[int] | None:
         """The path without penalties, if each place has one free state at most; else None."""
-        n, ids, prefixes, joints = len(unit), self.ids, self.prefixes, self.joints
+        n, ids, starts, known, size = len(unit), self.ids, self.starts.get, self.joints.get, len(self.texts)
         ended: list[int | None] = [None] * (n + 1)  # the piece that ends here; -1 for bytes and the start
         came = [0] * (n + 1)
         ended[0] = -1
@@ -127,18 +139,20 @@ class Transducer:
             before = ended[i]
             if before is None:
                 continue
-            j = i + 1
-            while j <= n and (text := unit[i:j]) in prefixes:
-                piece = ids.get(text)
-                if piece is not None:
-                    free = before < 0 or joints.get((before, piece))
-                    if free is None:
-                        free = self.apart(before, piece)
-                    if free:
-                        if ended[j] is not None:
-                            return None
-                        ended[j], came[j] = piece, i
-                j += 1
+            row = before * size
+            for j in range(i + 1, n + 1):
+                piece = starts(unit[i:j])
+                if piece is None:
+                    break
+                if piece < 0:
+                    continue
+                free = known(row + piece)
+                if free is None:
+                    free = self.apart(before, piece)
+                if free:
+                    if ended[j] is not None:
+                        return None
+                    ended[j], came[j] = piece, i
             if unit[i] not in ids:
                 if ended[i + 1] is not None:
                     return None
@@ -184,7 +198,7 @@ class Transducer:
                     if not self.bpe:
                         step = cost - score
                     else:
-                        step = cost if before < 0 or self.apart(before, piece) else cost + 1
+                        step = cost if self.apart(before, piece) else cost + 1
                     new = (step, count + 1, i, before)
                     if best is None or new < best:
                         best = new
@@ -220,8 +234,7 @@ class Transducer:
         normal = self.normal(text or "")
         if not normal:
             return np.zeros(0, np.int32)
-        units = self.find(normal) if self.find else [normal]
-        return np.frombuffer(b"".join(map(self._unit, units)), np.int32)
+        return np.frombuffer(b"".join(map(self._unit, self.cut(normal))), np.int32)
 
     def decode(self, ids) -> str:
         joined = b"".join(map(self.surface.__getitem__, ids))
@@ -264,6 +277,37 @@ def decode(ids: Column, path: str) -> Column:
     return text_of(ids)
 
 
+def coded(docs: DataFrame, path: str, *, decoded: bool = False) -> DataFrame:
+    """``docs`` with the piece ids of ``text`` in its place, ``ids``, and if asked for the text they decode to, ``decoded``.
+
+    One worker does both, and passes on what it has every ``HELD_BYTES``.
+    """
+    kept = [c for c in docs.columns if c != "text"]
+    fields = [*docs.select(*kept).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
+    fields += [T.StructField("decoded", T.StringType())] if decoded else []
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fst = transducer(path)
+        for batch in batches:
+            texts, begin, held, ids, backs = batch.column(len(kept)), 0, 0, [], []
+            for k in range(len(texts)):
+                found = fst.encode(texts[k].as_py())
+                ids.append(found)
+                held += found.nbytes
+                if decoded:
+                    backs.append(fst.decode(found.tolist()))
+                    held += len(backs[-1])
+                if held > HELD_BYTES or k == len(texts) - 1:
+                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                    columns = [*batch.slice(begin, len(ids)).columns[: len(kept)], lists]
+                    columns += [pa.array(backs, pa.string())] if decoded else []
+                    yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+                    begin, held, ids, backs = k + 1, 0, [], []
+
+    return docs.select(*kept, "text").mapInArrow(code, T.StructType(fields))
+
+
 def model_path() -> str:
     import public_tokenizers
 
@@ -273,10 +317,10 @@ def model_path() -> str:
 def query(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: its pieces' number and digest, and whether decoding gives the text again."""
     path = path or model_path()
-    coded = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), encode(F.col("text"), path).alias("ids"))
-    return coded.withColumn("decoded", decode(F.col("ids"), path)).select(
+    rows = coded(docs.select("doc_id", "text", F.sha2("text", 256).alias("digest")), path, decoded=True)
+    return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
+        (F.sha2("decoded", 256) == F.coalesce("digest", F.sha2(F.lit(""), 256))).alias("round_trip"),
     )
