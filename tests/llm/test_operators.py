@@ -254,6 +254,21 @@ def test_pieces(spark):
     got = {r["doc_id"]: list(r["ids"]) for r in df.select("doc_id", ids.alias("ids")).collect()}
     assert got == {k: model.encode(t or "") for k, t in enumerate(texts)}
     assert all(r["round_trip"] for r in piece_codec.query(df).collect())
+    coded = piece_codec.coded(df.withColumn("ids_of", F.lit("x")), P.path("piece_bpe_32k.model"), decoded=True).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in coded} == got
+    assert {r["doc_id"]: r["decoded"] for r in coded} == {k: t or "" for k, t in enumerate(texts)}
+    assert piece_codec.query(df.filter("doc_id < 0")).count() == 0
+
+
+def test_units_are_cut_where_no_piece_spans():
+    P = pytest.importorskip("public_tokenizers")
+    fst = piece_codec.Transducer(P.path("piece_bpe_32k.model"))
+    pairs = {p[k : k + 2] for p in fst.arcs for k in range(len(p) - 1)}
+    for t in ("one two", "1234", "a\n\nb", "x" * 100, "##***", "中文 é\u0301 😀😀", "\x00"):
+        units = fst.cut(fst.normal(t))
+        assert "".join(units) == fst.normal(t)
+        assert all(a[-1] + b[0] not in pairs for a, b in zip(units, units[1:]))
+        assert all(u[k : k + 2] in pairs for u in units for k in range(len(u) - 1))
 
 
 def test_images(spark):
