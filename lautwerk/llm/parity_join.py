@@ -13,8 +13,11 @@ lower-cased. Two documents link if their sets' Jaccard similarity is at least 75
    many documents share is rarely given. What counts as frequent is fitted on a bounded sample and affects
    the order only. Bands go up by 4; a set that can link into the next band gives lanes there too.
 3. Copies. Equal sets are one class from the start; only its smallest id takes part.
-4. Candidates. Lanes are dealt by hash, packed in blocks, and sorted. Up to ``SMALL_RUN`` documents with
-   one lane are paired; longer runs link to one hub each, and further rounds pair what
+4. Candidates. Lanes are dealt by hash, packed in blocks, and sorted. A pair must show at the first lane it shares, where
+   all lanes before it in the order differ, so no pair is made where their number is above the bound. Up to
+   ``SMALL_SET`` shingles a lane holds one shingle, and all before are missing in the other set: of ``a`` shingles at
+   most ``(100 a - 75 b) / 175``. This keeps documents apart that share a passage, but not enough besides. Up to
+   ``SMALL_RUN`` documents with one lane are paired; longer runs link to one hub each, and further rounds pair what
    the links found so far leave in several components, so dense groups of near copies cost a star
    instead of all pairs; the last round pairs all that is left.
 5. Verify. Each document also has a sketch of single bits, about four to eight per shingle, that hold
@@ -34,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix, shingle_set, words
@@ -45,12 +48,12 @@ PERCENT = 75
 #: Documents of the sample that shows which shingles are frequent, the count from which one is, and how many are kept.
 SAMPLE_DOCS, FREQUENT, FREQUENT_ROWS = 4096, 6, 1 << 16
 #: Sets up to this size have a lane for each shingle.
-SMALL_SET = 64
+SMALL_SET = 4095
 #: Documents with one lane that are paired at once.
 SMALL_RUN = 6
 #: Lanes of a block group, which one task sorts.
 SHARD_LANES = 1 << 20
-ROUNDS = 4
+ROUNDS = 3
 #: Ids up to which their table is broadcast to pick texts; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -92,25 +95,55 @@ def band_lanes(found: np.ndarray, rank: np.ndarray, band: int, differ: int) -> n
         cold = np.minimum.reduceat(rank[order], first)  # as rare as its rarest shingle
     salt = np.array([band + 1], np.uint64) * _BAND_SEED
     key = mix(mix(word + salt) ^ lane * _ODD)
-    if len(key) <= differ + 1:
-        return key
     return key[np.lexsort((key, cold))[: differ + 1]]
 
 
 def given_lanes(found: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The lanes a set gives, in order: how many in its own band, these, then those in the next band."""
     size = len(found)
     if not size:
         return found
     band = _band(size)
     top, most = 4 ** (band + 1) - 1, size * 100 // PERCENT
-    # |A ^ B| <= (a + b) * (1 - t) / (1 + t)
-    differ = lambda other: (size + other) * (100 - PERCENT) // (100 + PERCENT)
-    lanes = [band_lanes(found, rank, band, differ(min(most, top)))]
-    if most > top:
-        lanes.append(band_lanes(found, rank, band + 1, differ(most)))
+    if top <= SMALL_SET:
+        differ = most_missing(size, -(-size * PERCENT // 100))
+    else:
+        differ = most_different(size, min(most, top))
+    own = band_lanes(found, rank, band, differ)
+    lanes = [np.array([len(own)], np.uint64), own]
+    if most > top:  # partners of the next band have more than top
+        differ = most_missing(size, top + 1) if 4 * top + 3 <= SMALL_SET else most_different(size, most)
+        lanes.append(band_lanes(found, rank, band + 1, differ))
     return np.concatenate(lanes)
 
 
+def most_different(size, other):
+    """The most lanes in which linked sets of these sizes differ."""
+    return (size + other) * (100 - PERCENT) // (100 + PERCENT)
+
+
+def most_missing(size, other):
+    """The most shingles of a set that are missing in a linked one of size ``other``."""
+    return (100 * size - PERCENT * other) // (100 + PERCENT)
+
+
+def may_link(size_a, place_a, size_b, place_b):
+    """Whether sets (numbers or arrays) of these sizes may link if the first lane they share is at these places."""
+    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    missing = (place_a <= most_missing(size_a, size_b)) & (place_b <= most_missing(size_b, size_a))
+    different = np.maximum(place_a, place_b) <= most_different(size_a, size_b)
+    return (100 * small >= PERCENT * large) & np.where(large <= SMALL_SET, missing, different)
+
+
+def _may_link(size_a: Column, place_a: Column, size_b: Column, place_b: Column) -> Column:
+    """The same on columns."""
+    small, large = F.least(size_a, size_b), F.greatest(size_a, size_b)
+    missing = lambda size, place, other: (100 + PERCENT) * place <= 100 * size - PERCENT * other
+    different = (100 + PERCENT) * F.greatest(place_a, place_b) <= (100 - PERCENT) * (size_a + size_b)
+    both = missing(size_a, place_a, size_b) & missing(size_b, place_b, size_a)
+    return (100 * small >= PERCENT * large) & F.when(large <= SMALL_SET, both).otherwise(different)
+
+
 def parity_bits(found: np.ndarray) -> bytes:
     """Bits with the parity of the shingles hashed to each; a power of two of them, at least four per shingle."""
     size = 1 << max(6, (4 * len(found) - 1).bit_length())
@@ -197,16 +230,17 @@ def _blocks(shards: int):
         for batch in batches:
             ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             sizes = np.array(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
-            lanes = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            given = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
             for at in range(0, len(ids), 4096):  # so that numbers fit 16 bits
-                part = lanes[at : at + 4096]
-                if not sum(map(len, part)):
+                part = [x[1:] for x in given[at : at + 4096]]
+                if not part:
                     continue
                 lane = np.concatenate(part)
+                place = np.concatenate([np.arange(n) for x in given[at : at + 4096] for n in ((int(x[0]), len(x) - 1 - int(x[0])) if len(x) else ())])
                 owner = np.repeat(np.arange(len(part), dtype=np.uint16), [len(x) for x in part])
                 shard = (lane >> np.uint64(32)) % np.uint64(shards)
                 order = np.argsort(shard, kind="stable")
-                lane, owner, shard = lane[order], owner[order], shard[order]
+                lane, place, owner, shard = lane[order], place[order].astype(np.uint32), owner[order], shard[order]
                 ends = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
                 out = ([], [])
                 for s in np.flatnonzero(np.diff(ends)):
@@ -219,6 +253,7 @@ def _blocks(shards: int):
                         + ids[at + used.astype(np.int64)].tobytes()
                         + sizes[at + used.astype(np.int64)].tobytes()
                         + lane[a:b].tobytes()
+                        + place[a:b].tobytes()
                         + number.astype(np.uint16).tobytes()
                     )
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["shard", "block"])
@@ -226,13 +261,14 @@ def _blocks(shards: int):
     return pack
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
     n, m = np.frombuffer(block, np.int64, 2)
     ids = np.frombuffer(block, np.int64, n, 16)
     sizes = np.frombuffer(block, np.int64, n, 16 + 8 * n)
     lane = np.frombuffer(block, np.uint64, m, 16 + 16 * n)
-    number = np.frombuffer(block, np.uint16, m, 16 + 16 * n + 8 * m)
-    return lane, ids[number], sizes[number]
+    place = np.frombuffer(block, np.uint32, m, 16 + 16 * n + 8 * m)
+    number = np.frombuffer(block, np.uint16, m, 16 + 16 * n + 12 * m)
+    return lane, ids[number], sizes[number], place.astype(np.int64)
 
 
 def _runs(batches):
@@ -240,10 +276,10 @@ def _runs(batches):
     parts = [_unpack(x) for batch in batches for x in batch.column(1).to_pylist()]
     if not parts:
         return
-    lane, ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    lane, ids, sizes, places = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     order = np.lexsort((ids, lane))
-    lane, ids, sizes = lane[order], ids[order], sizes[order]
+    lane, ids, sizes, places = lane[order], ids[order], sizes[order], places[order]
     first = np.flatnonzero(np.concatenate(([True], lane[1:] != lane[:-1])))
     length = np.diff(np.append(first, len(lane)))
     pairs = []
@@ -252,31 +288,27 @@ def _runs(batches):
         for i in range(n):
             for j in range(i + 1, n):
                 a, b = begin + i, begin + j
-                small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-                fits = (100 * small >= PERCENT * large) & (ids[a] != ids[b])
+                fits = may_link(sizes[a], places[a], sizes[b], places[b]) & (ids[a] != ids[b])
                 pairs.append(np.stack((ids[a][fits], ids[b][fits])))
     found = np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-    yield _run_batch(np.zeros(found.shape[1], np.int64), found[0], found[1])
-    seen: set[bytes] = set()
+    yield _run_batch(None, found[0], found[1])
+    # of runs of the same documents that with the lowest places, which is first in the order of all of them
+    lowest: dict[bytes, tuple[int, int, int]] = {}
     for at, n in zip(first[length > SMALL_RUN].tolist(), length[length > SMALL_RUN].tolist(), strict=True):
-        members = ids[at : at + n]
-        digest = mix(members.view(np.uint64)).sum(dtype=np.uint64).tobytes() + n.to_bytes(8, "little")
-        if digest not in seen:  # the same documents again
-            seen.add(digest)
-            yield _run_batch(np.full(n, lane[at].view(np.int64)), members, sizes[at : at + n], True)
+        digest = mix(ids[at : at + n].view(np.uint64)).sum(dtype=np.uint64).tobytes() + n.to_bytes(8, "little")
+        run = int(places[at : at + n].sum()), at, n
+        lowest[digest] = min(lowest.get(digest, run), run)
+    for _, at, n in lowest.values():
+        yield _run_batch(int(lane[at : at + 1].view(np.int64)[0]), ids[at : at + n], None, sizes[at : at + n], places[at : at + n])
 
 
-def _run_batch(run: np.ndarray, a: np.ndarray, b: np.ndarray, long: bool = False) -> pa.RecordBatch:
-    n = len(a)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(run, pa.int64(), mask=None if long else np.ones(n, bool)),
-            pa.array(a, pa.int64()),
-            pa.array(b, pa.int64(), mask=np.ones(n, bool) if long else None),
-            pa.array(b, pa.int64(), mask=None if long else np.ones(n, bool)),
-        ],
-        ["run", "a", "b", "size"],
-    )
+def _run_batch(run: int | None, a: np.ndarray, b: np.ndarray | None, *more: np.ndarray) -> pa.RecordBatch:
+    """Rows ``run a b size place``: pairs have ``a b``, members of a run all but ``b``."""
+    none = pa.nulls(len(a), pa.int64())
+    runs = none if run is None else pa.array(np.full(len(a), run), pa.int64())
+    columns = [runs, pa.array(a, pa.int64()), none if b is None else pa.array(b, pa.int64())]
+    columns += [pa.array(x, pa.int64()) for x in more] or [none, none]
+    return pa.RecordBatch.from_arrays(columns, ["run", "a", "b", "size", "place"])
 
 
 def exact_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -333,7 +365,8 @@ def verified(docs: DataFrame, sketched: DataFrame, candidates: DataFrame) -> Dat
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - F.col("common")
     linked = both.withColumn("common", common).filter(100 * F.col("common") >= PERCENT * union).select("a", "b")
-    return durable(linked.distinct(), "parity-links")
+    links = durable(linked.distinct(), "parity-links")
+    return links if links.take(1) else None
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -369,18 +402,16 @@ def _left_over(runs: DataFrame, labels: DataFrame | None, round_: int) -> DataFr
     spread = placed.groupBy("run").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
     open_ = durable(placed.join(spread.select("run"), "run"), "parity-open")
     if round_ < ROUNDS - 1:
-        # a hub that differs from round to round: first the smallest id, then one by hash
-        by = F.col("a") if round_ == 0 else F.xxhash64("a", F.lit(round_))
-        other = open_.groupBy("run").agg(F.min_by(F.struct("a", "component", "size"), by).alias("hub"))
-        hub = (F.col("hub.a").alias("b"), F.col("hub.component").alias("c"), F.col("hub.size").alias("s"))
-        pairs = open_.join(other, "run").select("a", "component", "size", *hub)
+        # a hub that differs from round to round: first the member that can link with most, then one by hash
+        by = F.struct("place", "a") if round_ == 0 else F.struct(F.xxhash64("a", F.lit(round_)), "a")
+        other = open_.groupBy("run").agg(F.min_by(F.struct("a", "component", "size", "place"), by).alias("hub"))
+        hub = (F.col(f"hub.{x}").alias(y) for x, y in (("a", "b"), ("component", "c"), ("size", "s"), ("place", "p")))
+        pairs = open_.join(other, "run").select("a", "component", "size", "place", *hub)
     else:
-        right = open_.select("run", F.col("a").alias("b"), F.col("component").alias("c"), F.col("size").alias("s"))
+        right = open_.select("run", *(F.col(x).alias(y) for x, y in (("a", "b"), ("component", "c"), ("size", "s"), ("place", "p"))))
         pairs = open_.join(right, "run").filter("a < b")
-    fits = 100 * F.least("size", "s") >= PERCENT * F.greatest("size", "s")
-    return pairs.filter((F.col("component") != F.col("c")) & fits).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    )
+    fits = _may_link(F.col("size"), F.col("place"), F.col("s"), F.col("p"))
+    return pairs.filter((F.col("component") != F.col("c")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -397,9 +428,9 @@ def link(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-lanes // 8 // SHARD_LANES))
     blocks = classes.select("rep", "n_shingles", "lanes").mapInArrow(_blocks(shards), "shard int, block binary")
     found = durable(
-        blocks.repartition(max(shards, 1), "shard").mapInArrow(_runs, "run long, a long, b long, size long"), "parity-runs"
+        blocks.repartition(max(shards, 1), "shard").mapInArrow(_runs, "run long, a long, b long, size long, place long"), "parity-runs"
     )
-    runs = found.filter("run is not null").select("run", "a", "size")
+    runs = found.filter("run is not null").select("run", "a", "size", "place")
     tested = durable(found.filter("run is null").select("a", "b").distinct(), "parity-pairs")
     links = verified(docs, sketched, tested)
     labels = None if links is None else components(links)
