@@ -52,7 +52,7 @@ SMALL_SET = 4095
 #: Documents with one lane that are paired at once.
 SMALL_RUN = 6
 #: Lanes of a block group, which one task sorts.
-SHARD_LANES = 1 << 20
+SHARD_LANES = 1 << 18
 ROUNDS = 3
 #: Ids up to which their table is broadcast to pick texts; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
