@@ -119,6 +119,24 @@ def test_bits_bound_the_difference():
         assert parity_join.bit_distance(parity_join.parity_bits(a), parity_join.parity_bits(b)) <= len(np.setxor1d(a, b))
 
 
+def test_linked_sets_show_at_their_first_lane():
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    for size in [1, 3, 4, 5, 15, 16, 20, 63, 64, 80, 255, 256, 1023, 1024, 4000, 4095, 4096, 5000] * 6:
+        words = np.unique(draw.integers(0, 1 << 63, 3 * size, dtype=np.uint64))
+        hot = words[: size // 2]
+        a, extra = words[:size], words[size:]
+        lost, new = size // 7, draw.integers(0, size // 7 + 1)
+        b = np.sort(np.concatenate((draw.permutation(a)[lost:], extra[:new])))
+        if 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
+            continue
+        given = [parity_join.given_lanes(x, np.isin(x, hot).astype(np.int8)) for x in (a, b)]
+        place = [{int(k): (i, part) for part, keys in enumerate((x[1 : 1 + int(x[0])], x[1 + int(x[0]) :])) for i, k in enumerate(keys)} for x in given]
+        shared = place[0].keys() & place[1].keys()
+        assert any(parity_join.may_link(len(a), place[0][k][0], len(b), place[1][k][0]) for k in shared)
+
+
 def test_importance(spark, docs, empty):
     rng = random.Random(4)
     rows = [(k, text(rng, 80) if k % 4 else "!! ".join(text(rng, 80).upper().split()), "en", "s", 0, 1) for k in range(400)]
