@@ -7,8 +7,10 @@ share a word, so the words are the tables of the join. Matches whose places diff
 of ``CELL`` pixels) agree; an image is a copy if ``INLIERS`` distinct corners agree.
 
 Images of equal bytes are one class, named by its smallest id; only classes are described and joined, so a third
-of all rows may be one image. A word that many classes share (a flat corner, say) would pair them all with all queries;
-such words, in more than ``COMMON_SHARE`` of the classes, are no keys by themselves but stay in the distances.
+of all rows may be one image. Equal descriptors are one row of the join, so a flat corner that all classes share is
+met once. A word of many distinct descriptors is a key together with a block of the other bits; two within the distance agree
+in one of four blocks as well, so no pair is lost. Votes are counted where blocks of queries and of classes
+meet, and only pairs with enough of them leave, so votes are never shuffled.
 
 Edge cases: null, empty and broken images have no corners and match nothing; null ids are in no class. Rows
 repeated with one id are one image if their bytes are equal. Ties of the response are broken by place. Empty tables give
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._hashing import mix
 from ._shared import durable, table
 
 FEATURES = 24
@@ -34,9 +37,14 @@ WORDS = TESTS // 64
 DISTANCE = WORDS - 1
 CELL = 3
 INLIERS = 4
-#: A word in more than this share of the classes, and in more than MIN_COMMON of them, is no key.
-COMMON_SHARE, MIN_COMMON = 0.002, 50
+#: Corners of a block of classes or queries, and votes that are counted at once (more only for a single query).
+BLOCK, VOTES = 1 << 14, 1 << 20
+#: A vote packed into 64 bits: the query's number, the class's, the shifts in cells (images up to 49,000 pixels) and the corner's.
+_QUERY_BITS, _CLASS_BITS, _SHIFT_BITS, _CORNER_BITS = 12, 16, 15, 6
+#: A word of more distinct descriptors than this is hot: a key only together with a block of the other bits.
+HOT = 64
 DIRECTIONS = 32
+_ODD = np.uint64(0x2545F4914F6CDD1D)
 
 _rng = np.random.default_rng(20)
 _POINTS = _rng.normal(0, RADIUS / 2.5, (TESTS, 2, 2)).clip(-RADIUS, RADIUS)
@@ -110,50 +118,173 @@ def describe(data: bytes | None) -> list[tuple[int, int, int, list[int]]]:
     return out
 
 
-_FEATURES = "id long, scale int, y int, x int, words array<bigint>"
+_BLOCK = "id array<bigint>, scale array<int>, y array<int>, x array<int>, words array<bigint>"
 
 
-def descriptors(images: DataFrame) -> DataFrame:
-    """``id scale y x words``: one row per corner of ``images`` (``id image``)."""
+def packed(images: DataFrame) -> DataFrame:
+    """Corners of ``images`` (``id image``), one row per block of whole images: arrays ``id scale y x words``, where
+    ``words`` has ``WORDS`` elements for each of the others."""
+    kinds, names = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), ["id", "scale", "y", "x", "words"]
+
+    def block(found):
+        columns = [pa.array(np.concatenate(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names)
 
     def rows(batches):
+        found, held = [], 0
         for batch in batches:
-            ids, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = [(i, *f) for i, d in zip(ids, data, strict=True) for f in describe(d)]
-            columns = list(zip(*found, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "scale", "y", "x", "words"]
-            )
+            for k in range(len(batch)):
+                corner = describe(batch.column(1)[k].as_py())
+                if not corner:
+                    continue
+                *places, words = zip(*corner, strict=True)
+                id_ = np.full(len(corner), batch.column(0)[k].as_py(), np.int64)
+                found.append((id_, *(np.array(c, np.int32) for c in places), np.array(words, np.int64).ravel()))
+                held += len(corner)
+                if held >= BLOCK:
+                    yield block(found)
+                    found, held = [], 0
+        if found:
+            yield block(found)
 
-    return images.select("id", "image").mapInArrow(rows, _FEATURES)
+    return images.filter("id is not null").select("id", "image").mapInArrow(rows, _BLOCK)
 
 
-def _keys(features: DataFrame) -> DataFrame:
-    return features.select("*", F.posexplode("words").alias("place", "word"))
+def corner_rows(blocks: DataFrame) -> DataFrame:
+    """``id scale y x words``: one row per corner of ``packed`` blocks."""
+    words = f"transform(id, (v, k) -> slice(words, {WORDS} * k + 1, {WORDS}))"
+    return blocks.select("id", "scale", "y", "x", F.expr(words).alias("words")).selectExpr("inline(arrays_zip(id, scale, y, x, words))")
+
+
+def descriptors(images: DataFrame) -> DataFrame:
+    """``id scale y x words``: one row per corner of ``images`` (``id image``)."""
+    return corner_rows(packed(images))
+
+
+def _keys(descs: DataFrame) -> DataFrame:
+    return descs.select("*", F.posexplode("words").alias("place", "word"))
+
+
+def _blocks(keyed: DataFrame) -> DataFrame:
+    """Second keys of ``_keys`` rows: the bits outside the word, in ``DISTANCE + 1`` blocks of 48."""
+    others = F.filter(F.col("words"), lambda w, i: i != F.col("place"))
+    rest = F.concat_ws("", F.transform(others, lambda w: F.lpad(F.hex(w), 16, "0")))
+    size = (WORDS - 1) * 16 // (DISTANCE + 1)
+    blocks = F.array(*(F.substring(rest, 1 + k * size, size) for k in range(DISTANCE + 1)))
+    return keyed.select("*", F.posexplode(blocks).alias("block", "bits"))
+
+
+def near_descriptors(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """``scale q_words words``: the pairs of distinct descriptors (``scale words``) that differ in ``DISTANCE`` bits at most.
+
+    All of them: a word is a key however many share it. Of hot words the pairs agree in a block as well.
+    """
+    at = ["scale", "place", "word"]
+    mine = durable(_keys(own.select("scale", "words").distinct()), "image-words")
+    theirs = durable(_keys(asked.select("scale", "words").distinct()), "image-asked-words")
+    hot = mine.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select(*at)
+    hot = durable(hot.join(theirs, at, "left_semi"), "image-hot")
+    differ = F.aggregate(F.zip_with("words", "q_words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+
+    def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        both = left.withColumnRenamed("words", "q_words").join(right, keys)
+        return both.filter(differ <= DISTANCE).select("scale", "q_words", "words")
+
+    plain = pairs(theirs.join(hot, at, "left_anti"), mine, at)
+    fine = [_blocks(x.join(hot, at, "left_semi")) for x in (theirs, mine)]
+    return plain.unionByName(pairs(*fine, [*at, "block", "bits"])).distinct()
+
+
+def _name(scale: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64 bits that name a descriptor; equal ones always agree."""
+    name = scale.astype(np.uint64)
+    for k in range(WORDS):
+        name = mix(name * _ODD + words[:, k].view(np.uint64))
+    return name
+
+
+def _array(column: pa.Array, kind=np.int64) -> np.ndarray:
+    return np.array(column.to_numpy(zero_copy_only=False), kind)
+
+
+def _asked_blocks(batches):
+    """Rows ``query_id scale qy qx words``, sorted by query, as blocks of whole queries; a query's corners are numbered."""
+
+    def block(query, corner, y, x, name):
+        arrays = [pa.array([v.view(np.int64)], pa.list_(pa.int64())) for v in (query, corner, y, x, name)]
+        return pa.RecordBatch.from_arrays(arrays, ["query", "corner", "qy", "qx", "name"])
+
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        query, scale, y, x = (_array(c) for c in batch.columns[:4])
+        words = _array(batch.column(4).flatten()).reshape(-1, WORDS)
+        now = query, scale, y, x, _name(scale, words)
+        held = now if held is None else tuple(np.concatenate(v) for v in zip(held, now, strict=True))
+        cut = np.searchsorted(held[0], held[0][-1])  # the last query may go on
+        if cut >= BLOCK:
+            yield block(*_numbered(*(v[:cut] for v in held)))
+            held = tuple(v[cut:] for v in held)
+    if held is not None:
+        yield block(*_numbered(*held))
+
+
+def _numbered(query, scale, y, x, name):
+    order = np.lexsort((x, y, scale, query))
+    query, scale, y, x, name = (v[order] for v in (query, scale, y, x, name))
+    new = np.concatenate(([True], (query[1:] != query[:-1]) | (scale[1:] != scale[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1])))
+    corner = np.cumsum(new)
+    return query, corner - corner[np.searchsorted(query, query)], y, x, name
+
+
+def _vote(batches):
+    """Pairs of a block of queries and one of classes: ``query_id id inliers`` of the copies among them."""
+    for batch in batches:
+        for k in range(len(batch)):
+            query, corner, qy, qx, asked, ids, scale, y, x = (_array(c[k].values) for c in batch.columns[:9])
+            name = _name(scale, _array(batch.column(9)[k].values).reshape(-1, WORDS))
+            order = np.argsort(name, kind="stable")
+            name, y, x = name[order], y[order], x[order]
+            ids, owner = np.unique(ids[order], return_inverse=True)
+            asked = asked.view(np.uint64)
+            begin = np.searchsorted(name, asked)
+            times = np.searchsorted(name, asked, "right") - begin
+            firsts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+            ends = np.append(firsts[1:], len(query))
+            total = np.append(0, np.cumsum(times))
+            at = 0
+            while at < len(firsts):
+                to = int(np.searchsorted(total[ends], total[firsts[at]] + VOTES, "right"))
+                to = min(max(to, at + 1), at + (1 << _QUERY_BITS), len(firsts))
+                a, b = firsts[at], ends[to - 1]
+                row = np.repeat(np.arange(a, b), times[a:b])
+                hit = np.arange(len(row)) - np.repeat(total[a:b] - total[a], times[a:b]) + begin[row]
+                number = np.searchsorted(firsts, row, "right") - 1 - at
+                shift = [((v[hit] - w[row]) // CELL + (1 << _SHIFT_BITS - 1)) for v, w in ((y, qy), (x, qx))]
+                key = (number << _CLASS_BITS | owner[hit]) << _SHIFT_BITS | shift[0]
+                key = (key << _SHIFT_BITS | shift[1]) << _CORNER_BITS | corner[row]
+                spots, n = np.unique(np.unique(key.view(np.uint64)) >> np.uint64(_CORNER_BITS), return_counts=True)
+                spots, n = spots[n >= INLIERS] >> np.uint64(2 * _SHIFT_BITS), n[n >= INLIERS]
+                first = np.flatnonzero(np.concatenate(([True], spots[1:] != spots[:-1]))) if len(spots) else np.zeros(0, np.int64)
+                most = np.maximum.reduceat(n, first) if len(spots) else n
+                pair = spots[first].astype(np.int64)
+                found = query[firsts[at + (pair >> _CLASS_BITS)]], ids[pair & (1 << _CLASS_BITS) - 1], most.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["query_id", "id", "inliers"])
+                at = to
 
 
 def copies(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id id inliers``: classes (``id image``) of which a query (``id image``) is a cropped or edited copy."""
-    own = durable(_keys(descriptors(classes)), "image-words")
-    n = own.agg(F.count_distinct("id")).first()[0]
-    times = own.select("place", "word", "id").distinct().groupBy("place", "word").agg(F.count(F.lit(1)).alias("n"))
-    common = times.filter(F.col("n") > max(MIN_COMMON, COMMON_SHARE * n)).select("place", "word")
-    asked = _keys(descriptors(queries)).select(
-        F.col("id").alias("query_id"), F.col("scale").alias("q_scale"), F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("words").alias("q_words"), "place", "word"
-    )
-    asked = asked.join(common, ["place", "word"], "left_anti")
-    differ = F.aggregate(F.zip_with("words", "q_words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-    near = asked.join(own, ["place", "word"]).filter((F.col("scale") == F.col("q_scale")) & (differ <= DISTANCE))
-    shift = (F.floor((F.col("y") - F.col("qy")) / CELL).alias("dy"), F.floor((F.col("x") - F.col("qx")) / CELL).alias("dx"))
-    votes = near.select("query_id", "id", "scale", "qy", "qx", *shift).distinct()
-    return (
-        votes.groupBy("query_id", "id", "dy", "dx")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("query_id", "id")
-        .agg(F.max("n").alias("inliers"))
-        .filter(F.col("inliers") >= INLIERS)
+    blocks = durable(packed(classes), "image-corners")
+    asked = durable(descriptors(queries).withColumnsRenamed({"id": "query_id", "y": "qy", "x": "qx"}), "image-asked")
+    near = near_descriptors(corner_rows(blocks), asked)
+    matched = asked.withColumnRenamed("words", "q_words").join(near, ["scale", "q_words"]).select("query_id", "scale", "qy", "qx", "words")
+    asked_blocks = matched.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(
+        _asked_blocks, ", ".join(f"{c} array<bigint>" for c in ("query", "corner", "qy", "qx", "name"))
     )
+    both = durable(asked_blocks, "image-asked-blocks").crossJoin(blocks)
+    return both.mapInArrow(_vote, "query_id long, id long, inliers long")
 
 
 def class_rows(images: DataFrame) -> DataFrame:

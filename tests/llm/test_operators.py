@@ -300,3 +300,25 @@ def test_images(spark):
     found = {(r["query_id"], r["id"]) for r in image_copies.copies(df.filter("id < 10"), queries).collect()}
     assert found == {(k, k) for k in images}
     assert {r["id"]: r["class_id"] for r in image_copies.class_rows(df).collect()}[12] == 0
+
+
+def test_images_of_a_hot_group(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    base = np.kron(rng.integers(0, 250, (9, 9)), np.ones((8, 8)))
+    rows = [(k, image_copies.to_pgm(np.vstack((base, np.full((1, 72), k))))) for k in range(70)]  # 70 edits of one image
+    df = spark.createDataFrame(rows, "id long, image binary")
+    found = {(r["query_id"], r["id"]) for r in image_copies.copies(df, df.filter("id < 3")).collect()}
+    assert found == {(q, k) for q in range(3) for k in range(70)}
+
+
+def test_near_descriptors_of_hot_words(spark):
+    rng = random.Random(10)
+    same, descs = rng.getrandbits(63), []
+    for k in range(300):
+        descs.append([same, *(rng.getrandbits(63) for _ in range(3))] if k % 3 == 0 else [w ^ (1 << rng.randrange(60)) if i else w for i, w in enumerate(descs[-1])])
+    df = spark.createDataFrame([(1, w) for w in descs], "scale int, words array<bigint>")
+    found = {(tuple(r["q_words"]), tuple(r["words"])) for r in image_copies.near_descriptors(df, df).collect()}
+    near = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= image_copies.DISTANCE
+    assert found == {(tuple(a), tuple(b)) for a in descs for b in descs if near(a, b)}
