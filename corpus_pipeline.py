@@ -16,15 +16,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    judged = line_quality.judge(docs).filter("kept").select("doc_id", "source", "text_hash").distinct()
-    names = {"doc_id": "k_id", "source": "k_source", "text_hash": "k_hash"}
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("k_id"))
-        & F.col("source").eqNullSafe(F.col("k_source"))
-        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("k_hash"))
-    )
-    return docs.join(judged.withColumnsRenamed(names), same, "left_semi").select(*COLUMNS)
+    """Documents that the quality rules keep, without their lines above the limit."""
+    kept = line_quality.clean(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ r"""Quality rules: cross-document line frequency within hosts.
 Lines are normalised (outer white space off, inner runs to one space, lower case) and hashed to
 64 bits. Per host (``source``) each line's distinct documents are counted, documents of equal text as one, so
 that copies of one text do not make its own lines look like boilerplate. A line above the host's
-limit, ``max(min_docs, max_share * distinct documents of the host)``, is removed. A document
+limit, ``max(min_docs, max_share * distinct documents of the host)``, is removed; ``clean`` returns the texts without them. A document
 that keeps less than ``min_kept`` percent of its words is depleted and rejected. The limit is a share, so
 it acts alike at any size.
 
@@ -103,15 +103,26 @@ def _covered(places: Column) -> Column:
     return _once(places, total)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id source text_hash``, the base figures and ``lines``, an array of ``struct<h, n>``:
-    the hash of each normalised line and its words. The only step that reads texts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def normal_lines(text: Column) -> Column:
+    """Each line of a text, blank ones included, normalised."""
     spaced = text
     for c in "\t\x0b\x0c\r":
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     single = F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
-    normal = F.filter(F.transform(F.split(F.lower(single), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(F.split(F.lower(single), "\n"), lambda x: F.trim(x))
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """A text without the lines whose normalised form has one of the ``hashes``."""
+    left = F.zip_with(F.split(text, "\n"), normal_lines(text), lambda x, n: F.when(~F.array_contains(hashes, F.xxhash64(n)), x))
+    return F.array_join(F.filter(left, lambda x: x.isNotNull()), "\n")
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``doc_id source text_hash``, the base figures and ``lines``, an array of ``struct<h, n>``:
+    the hash of each normalised line and its words. The only step of ``judge`` that reads texts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    normal = F.filter(normal_lines(text), lambda x: x != "")
     n_spaces = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit("")))
     filled = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SEPARATOR_CHARS)) != "")
     return (
@@ -166,7 +177,8 @@ def judge(
     max_share: float = MAX_SHARE,
     min_kept_percent: int = MIN_KEPT_PERCENT,
 ) -> DataFrame:
-    """One row per document: the base figures, ``base_failed``, ``removed_words`` and ``kept``."""
+    """One row per document: the base figures, ``base_failed``, ``removed_words``, ``removed_lines`` (the hashes of
+    its lines above the limit, null for none) and ``kept``."""
     rows = durable(measured(docs), "line-quality")
     common = broadcast_if_small(durable(common_lines(rows, min_docs, max_share), "common-lines"), BROADCAST_ROWS)
     removed = (
@@ -174,7 +186,7 @@ def judge(
         .join(common, F.col("source").eqNullSafe(F.col("line_host")) & (F.col("line.h") == F.col("line_hash")))
         .dropDuplicates(["doc_id", "source", "text_hash", "at"])  # of rows repeated whole, one
         .groupBy(F.col("doc_id").alias("r_id"), F.col("source").alias("r_source"), F.col("text_hash").alias("r_hash"))
-        .agg(F.sum("line.n").alias("removed"))
+        .agg(F.sum("line.n").alias("removed"), F.collect_set("line.h").alias("removed_lines"))
     )
     joined = (
         rows.drop("lines")
@@ -197,6 +209,19 @@ def judge(
     )
 
 
+def clean(docs: DataFrame, **limits) -> DataFrame:
+    """The documents that are kept, all columns, with ``text`` freed of the lines above the limit."""
+    judged = judge(docs, **limits).filter("kept").select("doc_id", "source", "text_hash", "removed_lines").distinct()
+    names = {"doc_id": "k_id", "source": "k_source", "text_hash": "k_hash"}
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("k_id"))
+        & F.col("source").eqNullSafe(F.col("k_source"))
+        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("k_hash"))
+    )
+    left = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("removed_lines")))
+    return docs.join(judged.withColumnsRenamed(names), same).withColumn("text", left).select(*docs.columns)
+
+
 def query(docs: DataFrame) -> DataFrame:
     return judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"

@@ -322,3 +322,15 @@ def test_near_descriptors_of_hot_words(spark):
     found = {(tuple(r["q_words"]), tuple(r["words"])) for r in image_copies.near_descriptors(df, df).collect()}
     near = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= image_copies.DISTANCE
     assert found == {(tuple(a), tuple(b)) for a in descs for b in descs if near(a, b)}
+
+
+def test_common_lines_leave_the_text(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    own = [text(rng, 80, 10_000) + "\n\n  ΟΔΟΣ\t" + text(rng, 9) for _ in range(30)]
+    rows = [(k, f"Same  old\tLINE\n{t}\n same old line ", "en", None if k % 2 else "a", 0, 1) for k, t in enumerate(own)]
+    rows += [rows[3], (99, "same old line\n" + own[0], "en", "b", 0, 1)]
+    found = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    want = [*own, own[3], "same old line\n" + own[0]]  # common in two hosts, not in the third
+    assert sorted((r["text"], r["n_chars"]) for r in found) == sorted((t, len(t)) for t in want)
