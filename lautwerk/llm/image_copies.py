@@ -333,17 +333,13 @@ QUERY_STEP = 20
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """One row per vector: its class, and for the classes of queries how many classes their edited copies match and
-    whether the class itself is among them (null for the rest)."""
+    """``vec_id class_id match_class_id inliers``: a row per vector with its class, and for the classes of the rows asked
+    the row of their smallest id once per other class that holds a copy. The rows of a class match as it does."""
     images = durable(draw(table(spark, sf_dir, "embeddings")), "images")
     members = durable(class_rows(images), "image-classes")
     reps = members.select(F.col("class_id").alias("id")).distinct()
     classes = images.join(reps, "id", "left_semi")
     asked = members.filter(F.col("id") % QUERY_STEP == 0).select(F.col("class_id").alias("id")).distinct()
-    found = copies(classes, edit(classes.join(asked, "id", "left_semi")))
-    per_class = asked.join(found.withColumnRenamed("id", "found").withColumnRenamed("query_id", "id"), "id", "left").groupBy("id").agg(
-        F.count("found").alias("n_matches"), F.coalesce(F.max(F.col("found") == F.col("id")), F.lit(False)).alias("found_itself")
-    )
-    return members.join(per_class.withColumnRenamed("id", "class_id"), "class_id", "left").select(
-        F.col("id").alias("vec_id"), "class_id", "n_matches", "found_itself"
-    )
+    found = copies(classes, classes.join(asked, "id", "left_semi")).filter("query_id <> id")
+    pairs = found.select(F.col("query_id").alias("vec_id"), F.col("id").alias("match_class_id"), "inliers")
+    return members.withColumnRenamed("id", "vec_id").join(pairs, "vec_id", "left").select("vec_id", "class_id", "match_class_id", "inliers")

@@ -334,3 +334,20 @@ def test_common_lines_leave_the_text(spark):
     found = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, DOCS), "").collect()
     want = [*own, own[3], "same old line\n" + own[0]]  # common in two hosts, not in the third
     assert sorted((r["text"], r["n_chars"]) for r in found) == sorted((t, len(t)) for t in want)
+
+
+def test_image_query_returns_partners(spark, tmp_path):
+    rng = random.Random(12)
+    vectors = {k: [rng.random() for _ in range(64)] for k in range(1, 31)}
+    vectors[20], vectors[7], vectors[9] = ([*vectors[3][:63], x] for x in (2.0, 2.5, 2.0))  # 9 and 20 draw one image
+    vectors[40] = None
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = image_copies.query(spark, str(tmp_path)).collect()
+    classes = {r["vec_id"]: r["class_id"] for r in rows}
+    assert len(classes) == 31 and classes[20] == classes[9] == 9
+    pairs = {(r["vec_id"], r["match_class_id"]): r["inliers"] for r in rows if r["inliers"] is not None}
+    assert pairs[9, 7] >= image_copies.INLIERS and pairs[9, 3] >= image_copies.INLIERS and {k for k, _ in pairs} == {9}
+    images = image_copies.draw(df)
+    edited = image_copies.copies(images, image_copies.edit(images)).filter("query_id = id").count()
+    assert edited == 30  # each finds itself after an edit
