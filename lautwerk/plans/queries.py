@@ -1,5 +1,6 @@
 """Named queries over the driver's tables. Tokens of German documents are the family names, those of French ones the
-given names; conversation tokens and misspelled names are what was heard."""
+given names. The queries that match names or compare pairs use the seeds as their lexicon and misspelled seeds as what
+was heard."""
 
 from __future__ import annotations
 
