@@ -29,7 +29,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse."""
     if len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + 1)
         made = []
@@ -49,7 +50,7 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate(([False], ~apart, [False]))
     starts = np.flatnonzero(inside[1:] & ~inside[:-1])
     ends = np.flatnonzero(inside[:-1] & ~inside[1:])
-    power, inverse = _power(len(data) + 1)
+    power, inverse = powers(len(data) + 1)
     running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LOWER[data] * power[: len(data)], dtype=np.uint64)))
     value = (running[ends] - running[starts]) * inverse[starts]
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts

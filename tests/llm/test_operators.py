@@ -266,7 +266,7 @@ def test_pieces(spark):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
-    texts = odd_texts()[:-1]
+    texts = odd_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     ids = piece_codec.encode(F.col("text"), P.path("piece_bpe_32k.model"))
     got = {r["doc_id"]: list(r["ids"]) for r in df.select("doc_id", ids.alias("ids")).collect()}
@@ -278,6 +278,26 @@ def test_pieces(spark):
     assert piece_codec.query(df.filter("doc_id < 0")).count() == 0
 
 
+def test_free_paths_are_the_cheapest():
+    P = pytest.importorskip("public_tokenizers")
+    fst = piece_codec.Transducer(P.path("piece_bpe_32k.model"))
+    units = {u for t in odd_texts()[:300] for u in fst.cut(fst.normal(t or ""))}
+    for u in units:
+        assert fst._free_path(u) == fst._cheapest_path(u)
+
+
+def test_windows_and_bytes(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    fst = piece_codec.Transducer(P.path("piece_bpe_32k.model"))
+    texts = [t for t in odd_texts() if len(t or "") < 5000]
+    whole = fst.encode_all(texts)
+    monkeypatch.setattr(piece_codec, "WINDOW_CHARS", 50)
+    parts = fst.encode_all(texts)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    assert fst.decode_all(*whole).to_pylist() == [t or "" for t in texts]
+    assert fst.decode([fst.bytes[0xFF], fst.bytes[0x61]]) == "\ufffda" and fst.decode([]) == ""
+
+
 def test_units_are_cut_where_no_piece_spans():
     P = pytest.importorskip("public_tokenizers")
     fst = piece_codec.Transducer(P.path("piece_bpe_32k.model"))
