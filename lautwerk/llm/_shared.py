@@ -15,9 +15,12 @@ SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session, whose driver is its one executor,
+    may do without: it gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"lautwerk-{uuid.uuid4().hex}")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -32,7 +35,21 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lautwerk/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``durable`` returned; nothing that is still to run may read them."""
+    for t in tables:
+        if t is not None:
+            _delete(t.sparkSession, t.durable_path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
@@ -40,11 +57,25 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Keys that ``join_spread`` broadcasts at most.
+HOT_KEYS = 10_000
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key and in ``weight`` the rows of ``left`` with that key.
+
+    Keys of more than a ``HOT_KEYS``-th of all ``rows`` of ``left``, so fewer than ``HOT_KEYS``, are broadcast; none of
+    the others can fill a task. Keys are not null.
+    """
+    hot = F.col(weight) > max(1000, -(-rows // HOT_KEYS))
+    many, few = F.broadcast(right.filter(hot).drop(weight)), right.filter(~hot).drop(weight)
+    rest = left.join(F.broadcast(right.filter(hot).select(*keys)), keys, "left_anti")
+    return left.join(many, keys).unionByName(rest.join(few, keys, how))
+
+
 def release(spark: SparkSession) -> None:
     """Deletes this application's tables from the shared folder, once its results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lautwerk/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/lautwerk/{spark.sparkContext.applicationId}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

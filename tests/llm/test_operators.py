@@ -69,11 +69,12 @@ def test_line_limits(spark):
 
 
 def components(rows):
+    """By brute force: per id the set's size, the component and the number of links."""
     sets = {}
     for doc, t, *_ in rows:
         w = WORDS.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
         sets[doc] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    parent = {d: d for d in sets}
+    parent, links = {d: d for d in sets}, dict.fromkeys(sets, 0)
 
     def root(d):
         while parent[d] != d:
@@ -85,16 +86,25 @@ def components(rows):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
-    return {d: (len(s), root(d)) for d, s in sets.items()}
+                links[a] += 1
+                links[b] += 1
+    return {d: (len(s), root(d), links[d]) for d, s in sets.items()}
+
+
+def joined(df):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in parity_join.query(df).collect()}
 
 
 def test_join(docs, empty, rows):
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.query(docs).collect()}
-    assert found == components(rows)
+    assert joined(docs) == components(rows)
     assert parity_join.query(empty).count() == 0
 
 
-def test_join_of_dense_groups(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_join_of_dense_groups(spark, monkeypatch, small):
+    if small:  # several blocks and shards
+        for name, value in (("BLOCK_ROWS", 7), ("BLOCK_SHINGLES", 300), ("COUNT_CHUNK", 500), ("COUNT_SHARD", 1000), ("SHARD_LANES", 200)):
+            monkeypatch.setattr(parity_join, name, value)
     rng = random.Random(2)
     rows = []
     for g in range(3):
@@ -104,9 +114,27 @@ def test_join_of_dense_groups(spark):
             for _ in range(rng.randrange(5)):
                 copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
             rows.append((1000 * g + k, " ".join(copy), "en", "s", 0, 1))
+    shared = text(rng, 60, 10_000)  # a passage of many documents that don't link
+    rows += [(5000 + k, " ".join((text(rng, 50, 10_000), shared, text(rng, 50, 10_000))), "en", "s", 0, 1) for k in range(60)]
+    rows += [(6000 + k, " ".join(f"s{(k + j) // 3}" for j in range(k % 19 + 1)), "en", "s", 0, 1) for k in range(60)]
     rng.shuffle(rows)
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.query(spark.createDataFrame(rows, DOCS)).collect()}
-    assert found == components(rows)
+    assert joined(spark.createDataFrame(rows, DOCS)) == components(rows)
+
+
+def test_join_odd_rows(spark):
+    t = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, t, "en", "s", 0, 1), (4, t, "en", "s", 0, 1), (4, t, "en", "s", 0, 1), (9, t + " more", "en", "s", 0, 1), (9, "other text", "en", "s", 0, 1), (7, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"size": "n_shingles", "source": "rep", "lang": "component_id"})
+    found = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["n_links"]) for r in parity_join.query(df).collect())
+    assert found == [(-1, 36, -1, 0), (4, 36, 4, 1), (4, 36, 4, 1), (7, 0, 7, 0), (9, 1, 4, 0), (9, 37, 4, 1)]
+
+
+def test_deltas():
+    import numpy as np
+
+    for high in (1000, 1 << 32):
+        values = np.sort(np.random.default_rng(1).integers(0, high, 500, dtype=np.uint64))
+        assert (parity_join._undo_deltas(parity_join._deltas(values)) == values).all()
 
 
 def test_bits_bound_the_difference():
@@ -127,14 +155,27 @@ def test_linked_sets_show_at_their_first_lane():
         words = np.unique(draw.integers(0, 1 << 63, 3 * size, dtype=np.uint64))
         hot = words[: size // 2]
         a, extra = words[:size], words[size:]
-        lost, new = size // 7, draw.integers(0, size // 7 + 1)
+        lost, new = size // 7, int(draw.integers(0, size // 7 + 1))
         b = np.sort(np.concatenate((draw.permutation(a)[lost:], extra[:new])))
         if 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
             continue
         given = [parity_join.given_lanes(x, np.isin(x, hot).astype(np.int8)) for x in (a, b)]
-        place = [{int(k): (i, part) for part, keys in enumerate((x[1 : 1 + int(x[0])], x[1 + int(x[0]) :])) for i, k in enumerate(keys)} for x in given]
+        place = [{int(k): i for run in x for i, k in enumerate(run)} for x in given]
         shared = place[0].keys() & place[1].keys()
-        assert any(parity_join.may_link(len(a), place[0][k][0], len(b), place[1][k][0]) for k in shared)
+        assert any(parity_join.may_link(len(a), place[0][k], len(b), place[1][k]) for k in shared)
+
+
+def test_sets_with_few_lanes():
+    import numpy as np
+
+    draw = np.random.default_rng(6)
+    one = draw.integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
+    one = one[(parity_join.mix(one ^ parity_join._ODD) & np.uint64(31)) < 3]  # of band 2 three lanes of 32
+    a, b = np.sort(one[:40]), np.sort(one[2:42])
+    given = [np.concatenate(parity_join.given_lanes(x, np.zeros(len(x), np.int8))) for x in (a, b)]
+    lanes = [parity_join.band_lanes(x, np.zeros(40, np.int8), 2, 13) for x in (a, b)]
+    assert len(lanes[0][0]) == 3 and len(lanes[0][1]) == 14
+    assert set(given[0].tolist()) & set(given[1].tolist())
 
 
 def test_importance(spark, docs, empty):
