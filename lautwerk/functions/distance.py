@@ -1,12 +1,12 @@
 """Similarity of comparison forms: weighted edit distance, Jaro, Jaro-Winkler and their blend.
 
-The two dynamic programs run as Arrow-batched functions; everything around them is native.
+The two dynamic programs run as Arrow-batched functions in which all pairs of a batch advance together, so no code runs per
+pair; everything around them is native.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,77 +36,119 @@ def _costs() -> dict[str, float]:
 COSTS = _costs()
 
 
-def edit_cost(s: str, t: str) -> float:
-    """Least cost of turning ``s`` into ``t`` by inserting, deleting, replacing and swapping neighbours."""
-    if s == t:
-        return 0.0
-    if not s or not t:
-        return float(len(s) or len(t))
-    cost = COSTS.get
-    older: list[float] = []
-    above = [float(k) for k in range(len(t) + 1)]
-    for i, a in enumerate(s, 1):
-        row = [float(i)]
-        for j, b in enumerate(t, 1):
-            best = above[j - 1] + (0.0 if a == b else cost(a + b, OTHER))
-            best = min(best, above[j] + 1, row[-1] + 1)
-            if i > 1 < j and a == t[j - 2] and s[i - 2] == b:
-                best = min(best, older[j - 2] + SWAP)
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, one column per text, zeros below, and the lengths."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((max(1, int(sizes.max(initial=0))), len(texts)), np.uint32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    column = np.repeat(np.arange(len(texts)), sizes)
+    out[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), column] = flat
+    return out, sizes
+
+
+def _cost_table() -> np.ndarray:
+    table = np.full((ALPHABET, ALPHABET), OTHER)
+    for pair, cost in COSTS.items():
+        a, b = map(ord, pair)
+        table[a, b] = cost
+    table[np.arange(ALPHABET), np.arange(ALPHABET)] = 0.0
+    return table
+
+
+#: Code points from this on only cost nothing among themselves if equal; all letters of ``COSTS`` are below it.
+ALPHABET = 256
+_COST = _cost_table()
+
+
+def edit_costs(s: list[str], t: list[str]) -> np.ndarray:
+    """Least cost of turning each ``s`` into its ``t`` by inserting, deleting, replacing and swapping neighbours.
+
+    All pairs advance together, cell by cell of the table of prefixes; a pair's cost is read where both end.
+    """
+    (x, n), (y, m) = _codes(s), _codes(t)
+    small_x, small_y = np.minimum(x, ALPHABET - 1), np.minimum(y, ALPHABET - 1)
+    older, above = None, [np.full(len(s), float(j)) for j in range(len(y) + 1)]
+    out = m.astype(np.float64)
+    pick = np.arange(len(s))
+    for i in range(1, int(n.max(initial=0)) + 1):
+        row = [np.full(len(s), float(i))]
+        for j in range(1, len(y) + 1):
+            cost = np.where(x[i - 1] == y[j - 1], 0.0, _COST[small_x[i - 1], small_y[j - 1]])
+            cost = np.where((cost == 0) & (x[i - 1] != y[j - 1]), OTHER, cost)  # both beyond the alphabet
+            best = np.minimum(np.minimum(above[j - 1] + cost, above[j] + 1), row[-1] + 1)
+            if i > 1 and j > 1:
+                swapped = (x[i - 1] == y[j - 2]) & (x[i - 2] == y[j - 1])
+                best = np.where(swapped, np.minimum(best, older[j - 2] + SWAP), best)
             row.append(best)
         older, above = above, row
-    return above[-1]
-
-
-def jaro_value(s: str, t: str) -> float:
-    if s == t:
-        return 1.0
-    if not s or not t:
-        return 0.0
-    reach = max(max(len(s), len(t)) // 2 - 1, 0)
-    free = list(t)
-    shared = []  # letters of s that have a partner, in order
-    for i, c in enumerate(s):
-        for j in range(max(0, i - reach), min(i + reach + 1, len(t))):
-            if free[j] == c:
-                free[j] = None
-                shared.append(c)
-                break
-    m = len(shared)
-    if not m:
-        return 0.0
-    partners = (c for c, left in zip(t, free, strict=True) if left is None)
-    swapped = sum(a != b for a, b in zip(shared, partners, strict=True)) // 2
-    return (m / len(s) + m / len(t) + (m - swapped) / m) / 3
-
-
-@lru_cache(maxsize=1 << 16)
-def blend(s: str, t: str) -> float:
+        ends = pick[n == i]
+        if len(ends):
+            out[ends] = np.stack(row)[m[ends], ends]
+    return np.round(out, 9)  # sums of tenths, whatever their order
+
+
+def jaro_values(s: list[str], t: list[str]) -> np.ndarray:
+    """Jaro similarity of each pair: letters within reach are matched from the left, all pairs together."""
+    (x, n), (y, m) = _codes(s), _codes(t)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+    used_x, used_y = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+    for i in range(len(x)):
+        inside = i < n
+        for j in range(len(y)):
+            hit = inside & (j < m) & (np.abs(i - j) <= reach) & ~used_x[i] & ~used_y[j] & (x[i] == y[j])
+            used_x[i] |= hit
+            used_y[j] |= hit
+    shared = used_x.sum(0)
+    swapped = np.zeros(len(s), np.int64)
+    if len(s) and shared.max():
+        order = []  # the matched letters in order, one column per pair
+        for codes, used in ((x, used_x), (y, used_y)):
+            letters = np.zeros((int(shared.max()), len(s)), np.uint32)
+            place, column = np.nonzero(used)
+            letters[(np.cumsum(used, 0) - 1)[place, column], column] = codes[place, column]
+            order.append(letters)
+        swapped = (order[0] != order[1]).sum(0) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = (shared / n + shared / m + (shared - swapped) / shared) / 3
+    same = np.array([a == b for a, b in zip(s, t, strict=True)], bool)
+    return np.where(same, 1.0, np.where(shared > 0, value, 0.0))
+
+
+def blends(s: list[str], t: list[str]) -> np.ndarray:
     """0 for an empty form, 1 for equal ones; else the blend of edit and Jaro-Winkler similarity."""
-    if not s or not t:
-        return 0.0
-    if s == t:
-        return 1.0
-    edit = 1 - min(edit_cost(s, t) / max(len(s), len(t)), 1)
-    j = jaro_value(s, t)
-    common = 0
-    for a, b in zip(s[:PREFIX], t[:PREFIX], strict=False):
-        if a != b:
-            break
-        common += 1
-    return EDIT_SHARE * edit + (1 - EDIT_SHARE) * (j + common * PREFIX_WEIGHT * (1 - j))
+    (x, n), (y, m) = _codes(s), _codes(t)
+    longest = np.maximum(n, m)
+    edit = 1 - np.minimum(edit_costs(s, t) / np.maximum(longest, 1), 1)
+    j = jaro_values(s, t)
+    rows = min(PREFIX, len(x), len(y))
+    equal = (x[:rows] == y[:rows]) & (x[:rows] != 0)
+    common = np.logical_and.accumulate(equal, 0).sum(0)
+    value = EDIT_SHARE * edit + (1 - EDIT_SHARE) * (j + common * PREFIX_WEIGHT * (1 - j))
+    same = np.array([a == b for a, b in zip(s, t, strict=True)], bool)
+    return np.where((n == 0) | (m == 0), 0.0, np.where(same, 1.0, value))
+
+
+#: Pairs that advance together.
+CHUNK = 4096
 
 
 def _of_pairs(f):
     @F.pandas_udf(DoubleType())
     def column(s: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([f(a or "", b or "") for a, b in zip(s, t, strict=True)], dtype="float64")
+        s, t = s.fillna("").to_numpy(object), t.fillna("").to_numpy(object)
+        order = np.argsort([len(a) + len(b) for a, b in zip(s, t, strict=True)], kind="stable")  # little padding
+        out = np.zeros(len(s))
+        for at in range(0, len(order), CHUNK):
+            part = order[at : at + CHUNK]
+            out[part] = f(s[part].tolist(), t[part].tolist())
+        return pd.Series(out)
 
     return column
 
 
-weighted_edit = _of_pairs(edit_cost)
-jaro = _of_pairs(jaro_value)
-_blend = _of_pairs(blend)
+weighted_edit = _of_pairs(edit_costs)
+jaro = _of_pairs(jaro_values)
+_blend = _of_pairs(blends)
 
 
 def common_prefix(s: Column, t: Column) -> Column:

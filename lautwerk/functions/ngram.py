@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ORDER = 4
@@ -83,19 +83,31 @@ def mean_log(names: DataFrame, model: Model) -> DataFrame:
     )
 
 
+#: Bins of the scores' histogram; scores lie between the logarithms of ``FLOOR`` and of the largest ratio of counts.
+BINS_PER_UNIT = 10_000
+
+
 def calibrate(scores: DataFrame) -> DataFrame:
     """``kind median spread``: order statistics by index; one row per kind.
 
-    The values at two ranks of the sorted scores, picked by row number, so no task holds all scores at once.
+    A histogram of the scores shows the two bins that hold the values; only the scores of these are ordered, so no task
+    holds all scores at once.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("kind").orderBy("mean_log")
-    n = F.count(F.lit(1)).over(Window.partitionBy("kind"))
-    placed = scores.select("kind", "mean_log", (F.row_number().over(order) - 1).alias("i"), n.alias("n"))
-    at = lambda share: F.max(F.when(F.col("i") == F.floor(F.col("n") * share), F.col("mean_log")))
-    found = placed.groupBy("kind").agg(at(0.5).alias("median"), at(0.05).alias("low"))
-    return found.select("kind", "median", F.greatest(F.col("median") - F.col("low"), F.lit(1e-6)).alias("spread"))
+    binned = scores.select("kind", "mean_log", F.floor(F.col("mean_log") * BINS_PER_UNIT).alias("bin"))
+    counts = binned.groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("kind").orderBy("bin")
+    placed = counts.select(
+        "kind", "bin", (F.sum("n").over(along) - F.col("n")).alias("first"), "n", F.sum("n").over(Window.partitionBy("kind")).alias("all")
+    )
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("what"), F.floor(F.col("all") * share).alias("i")) for name, share in (("median", 0.5), ("low", 0.05)))))
+    found = placed.select("*", wanted.alias("w")).filter((F.col("w.i") >= F.col("first")) & (F.col("w.i") < F.col("first") + F.col("n")))
+    # two rows per kind
+    inside = binned.join(F.broadcast(found.select("kind", "bin", "w.what", (F.col("w.i") - F.col("first")).alias("at"))), ["kind", "bin"])
+    order = Window.partitionBy("kind", "what").orderBy("mean_log")
+    exact = inside.withColumn("k", F.row_number().over(order) - 1).filter(F.col("k") == F.col("at"))
+    value = lambda what: F.max(F.when(F.col("what") == what, F.col("mean_log")))
+    both = exact.groupBy("kind").agg(value("median").alias("median"), value("low").alias("low"))
+    return both.select("kind", "median", F.greatest(F.col("median") - F.col("low"), F.lit(1e-6)).alias("spread"))
 
 
 def logistic(mean: Column, median: Column, spread: Column) -> Column:

@@ -156,15 +156,23 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def transcribe_sql(text: str) -> str:
+    out = f"translate({text}, {_quote(SHORT_FROM + MARKED)}, {_quote(SHORT_TO + PLAIN)})"
+    for letter, written in LONG_LETTERS.items():
+        out = f"replace({out}, {_quote(letter)}, {_quote(written)})"
+    return out
+
+
+def strip_accents_sql(text: str) -> str:
+    return f"regexp_replace({transcribe_sql(text)}, '\\p{{M}}+', '', 'g')"
+
+
 def normalize_sql(name: str) -> str:
     """For names without white space other than ASCII."""
     cleaned = f"trim({name}, ' ' || chr(9) || chr(10) || chr(13))"
     split = f"'^({_PARTICLE}) (.*\\S.*)$'"
     core = f"CASE WHEN regexp_matches({cleaned}, {split}, 'is') THEN regexp_extract({cleaned}, {split}, 2, 'is') ELSE {cleaned} END"
-    out = f"translate({core}, {_quote(SHORT_FROM + MARKED)}, {_quote(SHORT_TO + PLAIN)})"
-    for letter, written in LONG_LETTERS.items():
-        out = f"replace({out}, {_quote(letter)}, {_quote(written)})"
-    return f"regexp_replace(lower({out}), '[^a-z]', '', 'g')"
+    return f"regexp_replace(lower({transcribe_sql(core)}), '[^a-z]', '', 'g')"
 
 
 def collapse_sql(text: str, letters: str) -> str:

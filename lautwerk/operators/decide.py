@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cologne_of, normalize, skeleton_of, spell_out, trim
+from ..functions.text import normalize, spell_out, trim
 from .lexicon import Lexicon
-from .match import LIMIT, THRESHOLD, match, probability, spellings, variants_of
+from .match import ASKED, LIMIT, THRESHOLD, asked_rows, matches_of, spellings
 
 # Fixed values.
 SOFT_FLOOR, NEAR_TIE, CLOSE_SCORES = 0.55, 0.05, 0.02
@@ -44,7 +44,7 @@ def candidate_rows(matches: DataFrame, lexicon: Lexicon) -> DataFrame:
         match_kind(F.col("matched_via"), F.col("exact"), own).alias("matchKind"),
         F.slice(F.array_distinct(F.concat(F.array("name"), other)), 1, SPELLINGS).alias("spellings"),
     ).cast(CANDIDATE)
-    return with_variants.select("query_id", "kind", "position", "norm", shaped.alias("candidate"))
+    return with_variants.select(*ASKED, "position", "norm", shaped.alias("candidate"))
 
 
 def follow_up(best: Column, alternatives: Column, needs_human: Column) -> Column:
@@ -95,58 +95,56 @@ def hydrate(heard: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One decision per heard name.
 
     ``query_id query kind confidence best alternatives needsHuman followUp hints error``. At least eight matches
-    are pulled whatever the limit. Blank names get an error instead.
+    are pulled whatever the limit. Blank names get an error instead, with the name as it came. Each distinct form is decided once.
     """
-    cleaned = heard.withColumn("name", trim(F.coalesce("name", F.lit("")))).withColumn("kind", F.coalesce("kind", F.lit("family")))
+    raw = F.coalesce("name", F.lit(""))
+    cleaned = heard.withColumn("raw", raw).withColumn("name", trim(raw)).withColumn("kind", F.coalesce("kind", F.lit("family")))
     limit = F.coalesce(F.col("limit"), F.lit(LIMIT)) if "limit" in heard.columns else F.lit(LIMIT)
-    asked = cleaned.filter("name <> ''")
-    rows = candidate_rows(match(asked, lexicon, limit=F.greatest(limit, F.lit(PULLED))), lexicon)
-    ranked = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("position", "norm", "candidate"))).alias("ranked"))
-    known = (
-        probability(asked.select("query_id", "name", "kind"), lexicon)
-        .filter("known")
-        .select("query_id", F.col("name").alias("known_name"))
-        .join(variants_of(asked.select("query_id", "name", "kind"), lexicon).drop("kind"), "query_id")
+    rows = asked_rows(cleaned, F.greatest(limit, F.lit(PULLED))).select("query_id", "raw", "name", *ASKED)
+    asked = rows.filter("q.norm <> ''").select(*ASKED).distinct()
+    ranked = (
+        candidate_rows(matches_of(asked, lexicon), lexicon)
+        .groupBy(*ASKED)
+        .agg(F.sort_array(F.collect_list(F.struct("position", "norm", "candidate"))).alias("ranked"))
     )
-    joined = cleaned.join(ranked, "query_id", "left").join(known, "query_id", "left")
-    entry = F.when(
-        F.col("known_name").isNotNull(),
+    variants = F.coalesce("variants", F.array().cast("array<string>"))
+    entry = F.struct(
+        F.lit(0).alias("position"),
+        "norm",
         F.struct(
-            F.lit(0).alias("position"),
-            normalize(F.col("known_name")).alias("norm"),
-            F.struct(
-                F.col("known_name").alias("name"),
-                F.lit(1.0).alias("score"),
-                F.lit(True).alias("confident"),
-                F.lit(True).alias("exact"),
-                F.lit("exact").alias("matchKind"),
-                F.slice(F.concat(F.array("known_name"), "variants"), 1, SPELLINGS).alias("spellings"),
-            )
-            .cast(CANDIDATE)
-            .alias("candidate"),
-        ),
+            "name",
+            F.lit(1.0).alias("score"),
+            F.lit(True).alias("confident"),
+            F.lit(True).alias("exact"),
+            F.lit("exact").alias("matchKind"),
+            F.slice(F.array_distinct(F.concat(F.array("name"), variants)), 1, SPELLINGS).alias("spellings"),
+        )
+        .cast(CANDIDATE)
+        .alias("candidate"),
     )
+    known = lexicon.names.select("kind", "id", "name", "norm").join(spellings(lexicon), ["kind", "id"], "left")
+    known = known.select("kind", F.col("norm").alias("known_norm"), entry.alias("entry"))
     empty = F.array().cast(f"array<struct<position:int,norm:string,candidate:{CANDIDATE}>>")
+    decided = (
+        asked.join(ranked, ASKED, "left")
+        .withColumn("known_norm", F.col("q.norm"))
+        .join(known, ["kind", "known_norm"], "left")
+        .withColumn("ranked", F.coalesce("ranked", empty))
+        .select(*ASKED, F.coalesce(_best(F.col("ranked")), F.col("entry")).alias("chosen"), "ranked")
+    )
+    others = F.filter("ranked", lambda r: F.col("chosen").isNull() | (r["norm"] != F.col("chosen.norm")))
     staged = (
-        joined.withColumn("ranked", F.coalesce("ranked", empty))
-        .withColumn("chosen", F.coalesce(_best(F.col("ranked")), entry))
+        rows.join(decided, ASKED, "left")
         .withColumn("best", F.col("chosen.candidate"))
-        .withColumn(
-            "alternatives",
-            F.transform(
-                F.slice(F.filter("ranked", lambda r: F.col("chosen").isNull() | (r["norm"] != F.col("chosen.norm"))), 1, ALTERNATIVES),
-                lambda r: r["candidate"],
-            ),
-        )
+        .withColumn("alternatives", F.coalesce(F.transform(F.slice(others, 1, ALTERNATIVES), lambda r: r["candidate"]), F.array().cast(f"array<{CANDIDATE}>")))
         .withColumn("confidence", F.coalesce("best.score", F.lit(0.0)))
-        .withColumn("q_norm", normalize(F.col("name")))
         .withColumn("needsHuman", needs_human(F.col("best"), F.col("alternatives"), F.col("confidence")))
     )
     blank = F.col("name") == ""
     groups = F.when(F.col("best").isNotNull() & ~F.col("best.exact"), spell_out(F.col("best.name")))
     return staged.select(
         "query_id",
-        F.col("name").alias("query"),
+        F.when(blank, F.col("raw")).otherwise(F.col("name")).alias("query"),
         "kind",
         "confidence",
         "best",
@@ -154,10 +152,10 @@ def hydrate(heard: DataFrame, lexicon: Lexicon) -> DataFrame:
         "needsHuman",
         follow_up(F.col("best"), F.col("alternatives"), F.col("needsHuman")).alias("followUp"),
         F.struct(
-            F.col("q_norm").alias("normalizedQuery"),
-            cologne_of(F.col("q_norm")).alias("cologne"),
-            skeleton_of(F.col("q_norm")).alias("skeleton"),
-            F.when(blank, NO_NAME).otherwise(reason(F.col("best"), F.col("q_norm"))).alias("reasonDe"),
+            F.col("q.norm").alias("normalizedQuery"),
+            F.col("q.cologne").alias("cologne"),
+            F.col("q.skeleton").alias("skeleton"),
+            F.when(blank, NO_NAME).otherwise(reason(F.col("best"), F.col("q.norm"))).alias("reasonDe"),
             F.coalesce(groups, F.array().cast("array<string>")).alias("spellOut"),
         ).alias("hints"),
         F.when(blank, EMPTY_NAME).alias("error"),
@@ -173,22 +171,29 @@ def suggest(heard: DataFrame, lexicon: Lexicon, limit: int = 3) -> DataFrame:
 
 
 def hydrate_plain(heard: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The older shape: probability, matches, variants and whether a human is needed."""
+    """The older shape: probability, matches, variants and whether a human is needed. Blank names are left out."""
     asked = heard.withColumn("name", trim(F.coalesce("name", F.lit("")))).filter("name <> ''")
-    known = probability(asked.select("query_id", "name", "kind"), lexicon)
-    matches = match(asked, lexicon)
-    listed = matches.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct("position", "name", "score", "similarity", "probability", "rank", "sources", "exact", "matched_via", "confident"))).alias("matches")
+    rows = asked_rows(asked).select("query_id", "name", *ASKED)
+    struct = F.struct("position", "name", "norm", "score", "similarity", "probability", "rank", "sources", "exact", "matched_via", "confident")
+    listed = matches_of(rows.select(*ASKED).distinct(), lexicon).groupBy(*ASKED).agg(F.sort_array(F.collect_list(struct)).alias("matches"))
+    known = lexicon.names.select("kind", F.col("norm").alias("known_norm"), F.col("prob").alias("known_prob"))
+    joined = (
+        rows.withColumn("known_norm", F.col("q.norm"))
+        .join(known, ["kind", "known_norm"], "left")
+        .join(listed, ASKED, "left")
+        .withColumn("matches", F.coalesce("matches", F.array().cast(listed.schema["matches"].dataType)))
     )
-    joined = known.join(listed, "query_id", "left")
     sure = F.filter("matches", lambda m: m["confident"])
     human = ~(
-        F.col("known")
-        | F.coalesce(F.exists("matches", lambda m: m["confident"] & m["exact"]), F.lit(False))
+        F.col("known_prob").isNotNull()
+        | F.exists("matches", lambda m: m["confident"] & m["exact"])
         | F.coalesce(F.get("matches", 0)["confident"], F.lit(False))
     )
-    origin = joined.withColumn("variant_source", F.coalesce(F.get(sure, 0)["name"], F.col("name")))
-    variants = variants_of(origin.select("query_id", F.col("variant_source").alias("name"), "kind"), lexicon).drop("kind")
-    return origin.join(variants, "query_id").select(
-        "query_id", "kind", "known", "probability", "matches", "variants", human.alias("needsHuman"), F.lit(THRESHOLD).alias("threshold")
-    )
+    # the variants of the first confident match, else of the name's own entry
+    of = lexicon.names.select("kind", "id", F.col("norm").alias("of_norm")).join(spellings(lexicon), ["kind", "id"]).select("kind", "of_norm", "variants")
+    origin = joined.withColumn("of_norm", F.coalesce(F.get(sure, 0)["norm"], F.col("q.norm")))
+    return origin.join(of, ["kind", "of_norm"], "left").select(
+        "query_id", "kind", F.col("known_prob").isNotNull().alias("known"), F.coalesce("known_prob", F.lit(0.0)).alias("probability"),
+        "matches", F.coalesce("variants", F.array().cast("array<string>")).alias("variants"), human.alias("needsHuman"),
+        F.lit(THRESHOLD).alias("threshold"),
+    )

@@ -7,6 +7,7 @@ display name depends on their order.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ngram
 from ..functions.text import cologne_of, normalize, skeleton_of
+from ..storage import drop, durable
 
 # Attribution of the open sources.
 LICENSES = (
@@ -100,15 +102,28 @@ def merged_variants(records: DataFrame) -> DataFrame:
     return other.groupBy("kind", F.col("key").alias("norm"), "variant").agg(F.max_by("source", "seq").alias("source"))
 
 
-def ranked(merged: DataFrame) -> DataFrame:
-    """Names by falling total, then in German order, with probabilities and keys."""
+def ranked(merged: DataFrame, boundaries: Sequence[str] = ()) -> DataFrame:
+    """Names by falling total, then in German order, with probabilities and keys.
+
+    Names of one total and between the same ``boundaries`` are ranked among themselves, after the numbers of all that come
+    before, so no task sorts a whole kind.
+    """
     totals = merged.groupBy("kind").agg(F.sum("total").alias("mass"), F.count(F.lit(1)).alias("n"))
     # one row per kind
     rows = merged.join(F.broadcast(totals), "kind").withColumn("mass", F.when(F.col("mass") == 0, 1.0).otherwise(F.col("mass")))
     prob = F.when(F.col("total") > 0, F.col("total") / F.col("mass")).otherwise(F.lit(1.0) / F.col("n") / 10)
-    order = Window.partitionBy("kind").orderBy(F.desc("total"), F.collate("name", "de"), "name")
+    name = F.collate("name", "de")
+    before = [F.when(F.collate(F.lit(b), "de") <= name, 1).otherwise(0) for b in boundaries]
+    cell = ["kind", "total", "cell"]
+    placed = rows.withColumn("cell", sum(before, F.lit(0)))
+    sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("size"))
+    along = Window.partitionBy("kind").orderBy(F.desc("total"), "cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*cell, F.coalesce(F.sum("size").over(along), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*cell).orderBy(F.collate("name", "de"), "name")
     return (
-        rows.withColumn("rank_de", F.row_number().over(order))
+        placed.withColumn("inside", F.row_number().over(inside))
+        .join(offsets, cell)
+        .withColumn("rank_de", (F.col("offset") + F.col("inside")).cast("int"))
         .withColumn("prob", prob)
         .select(
             "kind",
@@ -127,22 +142,41 @@ def ranked(merged: DataFrame) -> DataFrame:
     )
 
 
+#: Names of one cell that are ranked by one task, about, and the most cells.
+CELL_NAMES, CELLS = 500_000, 256
+
+
+def cell_boundaries(merged: DataFrame) -> list[str]:
+    """Names that part the German order into cells of about ``CELL_NAMES``; none for small lexicons."""
+    n = merged.count()
+    cells = min(n // CELL_NAMES, CELLS)
+    if not cells:
+        return []
+    each = 100  # sampled names per cell
+    sample = merged.filter(F.pmod(F.xxhash64("name"), F.lit(max(1, n // (cells * each)))) == 0).select("name")
+    names = [r["name"] for r in sample.orderBy(F.collate("name", "de"), "name").limit(2 * CELLS * each).collect()]
+    return names[each::each]
+
+
 def build(records: DataFrame, licenses: tuple[str, ...] = LICENSES) -> Lexicon:
-    """The four tables of a lexicon from records."""
-    names = ranked(merge(records))
+    """The four tables of a lexicon from records, written to the shared folder, so that plans that read them stay small."""
+    merged = durable(merge(records), "merged")
+    plain = durable(ranked(merged, cell_boundaries(merged)), "ranked")
     variants = (
         merged_variants(records)
-        .join(names.select("kind", "norm", F.col("id").alias("surname_id")), ["kind", "norm"])
+        .join(plain.select("kind", "norm", F.col("id").alias("surname_id")), ["kind", "norm"])
         .withColumn("own", normalize(F.col("variant")))
         .select("kind", "surname_id", F.col("variant").alias("name"), F.col("own").alias("norm"), cologne_of(F.col("own")).alias("cologne"), "source")
     )
-    counts = ngram.train(names)
-    scores = ngram.mean_log(names.select("kind", "norm"), ngram.Model(counts))
-    calibration = ngram.calibrate(scores)
-    scored = scores.join(F.broadcast(calibration), "kind").select(
+    variants = durable(variants, "variants")
+    counts = durable(ngram.train(plain), "counts")
+    scores = durable(ngram.mean_log(plain.select("kind", "norm"), ngram.Model(counts)), "scores")
+    calibration = durable(ngram.calibrate(scores), "calibration")
+    scored = scores.join(F.broadcast(calibration), "kind").select(  # one row per kind
         "kind", "norm", ngram.logistic(F.col("mean_log"), F.col("median"), F.col("spread")).alias("plausibility")
     )
-    names = names.join(scored, ["kind", "norm"])
+    columns = ["kind", "norm", *(c for c in plain.columns if c not in ("kind", "norm")), "plausibility"]
+    names = durable(plain.join(scored, ["kind", "norm"]).select(*columns), "names")
     pairs = F.array(
         F.struct(F.lit("licenses").alias("key"), F.lit(json.dumps(list(licenses), ensure_ascii=False)).alias("value")),
         F.struct(F.lit("ngram_max_order").alias("key"), F.lit(str(ngram.MAX_ORDER)).alias("value")),
@@ -151,5 +185,6 @@ def build(records: DataFrame, licenses: tuple[str, ...] = LICENSES) -> Lexicon:
         F.struct(F.lit("kind").alias("key"), F.col("kind").alias("value")),
         F.struct(F.lit("built_at").alias("key"), F.current_timestamp().cast("string").alias("value")),
     )
-    meta = calibration.select("kind", F.explode(pairs).alias("m")).select("kind", "m.key", "m.value")
+    meta = durable(calibration.select("kind", F.explode(pairs).alias("m")).select("kind", "m.key", "m.value"), "meta")
+    drop(merged, plain, scores, calibration)
     return Lexicon(names, variants, counts.filter("count >= 2 or n <= 2"), meta)

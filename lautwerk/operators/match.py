@@ -1,6 +1,8 @@
 """Matching a table of heard names against a lexicon: blocking, scoring, ranking, probabilities.
 
-Heard names have ``query_id name kind`` and may have ``limit threshold``.
+Heard names have ``query_id name kind`` and may have ``limit threshold``. What a name matches depends on its
+comparison form and options alone, so each distinct form is matched once and the rows are joined at the end; ``query_id`` is
+carried along and need not be unique.
 """
 
 from __future__ import annotations
@@ -29,91 +31,133 @@ def heard_keys(heard: DataFrame) -> DataFrame:
     return kept.withColumns({"q_skeleton": skeleton_of(F.col("q_norm")), "q_cologne": cologne_of(F.col("q_norm"))})
 
 
-def _blocks(norm: Column, skeleton: Column, cologne: Column) -> Column:
-    key = lambda kind, value: F.struct(F.lit(kind).alias("block"), value.alias("key"))
-    return F.explode(
-        F.array(key("n", norm), key("s", skeleton), key("c", cologne), key("p", F.left(norm, F.lit(PREFIX_LETTERS))))
-    )
+#: Kinds of blocks: norm, skeleton, Cologne code and first letters of names; norm and Cologne code of their variants.
+_NORM, _SKELETON, _COLOGNE, _PREFIX, _VARIANT_NORM, _VARIANT_COLOGNE = "n", "s", "c", "p", "vn", "vc"
+
+
+def _blocks(**keys: Column) -> Column:
+    return F.explode(F.array(*(F.struct(F.lit(block).alias("block"), key.alias("key")) for block, key in keys.items())))
+
 
+def _capped(blocked: DataFrame, cap: int, *order: Column) -> DataFrame:
+    """Per block, and length where that counts, the first ``cap`` names: a query that fits one of them fits them all, so
+    none of the others can be among its first ``cap``."""
+    length = F.when(F.col("b.block") == _PREFIX, F.col("length"))
+    cell = Window.partitionBy("kind", "b", length).orderBy(*order)
+    return blocked.withColumn("at", F.row_number().over(cell)).filter(F.col("at") <= cap).drop("at")
 
-def primary(heard: DataFrame, names: DataFrame, cap: int = MAX_CANDIDATES) -> DataFrame:
-    """Names that share norm, skeleton, Cologne code, or first letters and about the length; the most probable ``cap``.
 
-    One equi-join on the four keys instead of a join on alternatives.
+def key_candidates(keys: DataFrame, lexicon: Lexicon, cap: int = MAX_CANDIDATES) -> DataFrame:
+    """Candidates of distinct forms ``kind q`` (``q`` a struct ``norm skeleton cologne``): ``kind q id cand_rank``.
+
+    Names that share norm, skeleton, Cologne code, or first letters and about the length, the most probable ``cap``; for forms
+    without any of these, names with a variant of the same norm or code. One equi-join on all keys, variants after names.
     """
-    left = heard.filter("q_norm <> ''").select(
-        "query_id", "kind", "q_norm", _blocks(F.col("q_norm"), F.col("q_skeleton"), F.col("q_cologne")).alias("b")
-    )
-    right = names.select("kind", "id", "prob", "length", _blocks(F.col("norm"), F.col("skeleton"), F.col("cologne")).alias("b"))
-    near = F.abs(F.col("length") - F.length("q_norm")) <= LENGTH_GAP
+    form = F.col("q")
+    left = keys.filter("q.norm <> ''").select(
+        "kind",
+        "q",
+        _blocks(
+            **{
+                _NORM: form["norm"], _SKELETON: form["skeleton"], _COLOGNE: form["cologne"],
+                _PREFIX: F.left(form["norm"], F.lit(PREFIX_LETTERS)), _VARIANT_NORM: form["norm"], _VARIANT_COLOGNE: form["cologne"],
+            }
+        ).alias("b"),
+    )
+    names = lexicon.names.select(
+        "kind", "id", "prob", "length", F.lit(0).alias("step"),
+        _blocks(
+            **{_NORM: F.col("norm"), _SKELETON: F.col("skeleton"), _COLOGNE: F.col("cologne"), _PREFIX: F.left("norm", F.lit(PREFIX_LETTERS))}
+        ).alias("b"),
+    )
+    variants = lexicon.variants.select(
+        "kind", F.col("surname_id").alias("id"), F.lit(0.0).alias("prob"), F.lit(0).alias("length"), F.lit(1).alias("step"),
+        _blocks(**{_VARIANT_NORM: F.col("norm"), _VARIANT_COLOGNE: F.col("cologne")}).alias("b"),
+    ).distinct()
+    right = _capped(names.unionByName(variants), cap, F.desc("prob"), F.asc("id"))
+    near = (F.col("b.block") != _PREFIX) | (F.abs(F.col("length") - F.length("q.norm")) <= LENGTH_GAP)
     pairs = (
         left.join(right, ["kind", "b"])
-        .filter((F.col("b.block") != "p") | near)
-        .select("query_id", "kind", "id", "prob")
-        .distinct()
+        .filter(near)
+        .groupBy("kind", "q", "id")
+        .agg(F.min("step").alias("step"), F.max("prob").alias("prob"))
+    )
+    order = Window.partitionBy("kind", "q").orderBy("step", F.desc("prob"), "id")
+    first = Window.partitionBy("kind", "q").orderBy("step", F.desc("prob"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        pairs.withColumns({"cand_rank": F.row_number().over(order), "from_step": F.first("step").over(first)})
+        .filter((F.col("cand_rank") <= cap) & (F.col("step") == F.col("from_step")))
+        .select("kind", "q", "id", "cand_rank")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("prob"), "id")
-    return pairs.withColumn("cand_rank", F.row_number().over(order)).filter(F.col("cand_rank") <= cap).drop("prob")
 
 
-def by_variant(heard: DataFrame, lexicon: Lexicon, cap: int = MAX_CANDIDATES) -> DataFrame:
-    """Names with a variant of the same norm or Cologne code."""
-    key = lambda a, b: F.explode(
-        F.array(F.struct(F.lit("n").alias("block"), a.alias("key")), F.struct(F.lit("c").alias("block"), b.alias("key")))
-    )
-    left = heard.filter("q_norm <> ''").select("query_id", "kind", key(F.col("q_norm"), F.col("q_cologne")).alias("b"))
-    right = lexicon.variants.select("kind", F.col("surname_id").alias("id"), key(F.col("norm"), F.col("cologne")).alias("b"))
-    pairs = left.join(right, ["kind", "b"]).select("query_id", "kind", "id").distinct()
-    order = Window.partitionBy("query_id").orderBy("id")
-    return pairs.withColumn("cand_rank", F.row_number().over(order)).filter(F.col("cand_rank") <= cap)
+def _form() -> Column:
+    return F.struct(F.col("q_norm").alias("norm"), F.col("q_skeleton").alias("skeleton"), F.col("q_cologne").alias("cologne"))
 
 
 def candidates(heard: DataFrame, lexicon: Lexicon, cap: int = MAX_CANDIDATES) -> DataFrame:
-    """``query_id kind id cand_rank``; variants are tried only for names without any primary candidate."""
-    found = primary(heard, lexicon.names, cap)
-    missing = heard.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    return found.unionByName(by_variant(missing, lexicon, cap))
+    """``query_id kind id cand_rank`` of heard names with keys; variants are tried only for names without any primary candidate."""
+    keyed = heard.select("query_id", "kind", _form().alias("q"))
+    found = key_candidates(keyed.select("kind", "q").distinct(), lexicon, cap)
+    return keyed.join(found, ["kind", "q"]).select("query_id", "kind", "id", "cand_rank")
 
 
-def match(heard: DataFrame, lexicon: Lexicon, *, limit: Column | None = None, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
-    """The best matches of each heard name, ``position`` from 1."""
+#: What decides about matches: the form and the options.
+ASKED = ["kind", "q", "threshold", "most"]
+
+
+def asked_rows(heard: DataFrame, limit: Column | None = None) -> DataFrame:
+    """Heard names with the columns ``ASKED``."""
     keyed = heard_keys(heard)
-    limit = F.col("limit") if limit is None else limit
-    rows = (
-        candidates(keyed, lexicon)
-        .join(keyed.select("query_id", "q_norm", "q_skeleton", "q_cologne", "threshold", limit.alias("most")), "query_id")
-        .join(lexicon.names, ["kind", "id"])
-    )
-    floor = F.col("threshold") - BELOW_THRESHOLD
-    longest = F.greatest(F.length("q_norm"), "length")
+    most = F.col("limit") if limit is None else limit
+    return keyed.withColumns({"q": _form(), "most": most}).drop("q_skeleton", "q_cologne", "limit")
+
+
+def matches_of(asked: DataFrame, lexicon: Lexicon, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
+    """The best matches of distinct rows with the columns ``ASKED``, ``position`` from 1."""
+    keys = asked.groupBy("kind", "q").agg(F.min("threshold").alias("lowest"))
+    floor = F.col("lowest") - BELOW_THRESHOLD
+    longest = F.greatest(F.length("q.norm"), "length")
     # sound after the cap: more difference in length than this cannot reach the floor
-    reachable = F.abs(F.length("q_norm") - F.col("length")) <= longest * ((1 - floor) / 0.65) + 1e-9
-    exact = F.col("norm") == F.col("q_norm")
+    reachable = F.abs(F.length("q.norm") - F.col("length")) <= longest * ((1 - floor) / 0.65) + 1e-9
     prior = F.when(F.col("prob") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log10("prob") + 7) / 7))).otherwise(0.0)
     scored = (
-        rows.filter(reachable)
-        .withColumn("sim", similarity(F.col("q_norm"), F.col("norm")))
+        key_candidates(keys, lexicon)
+        .join(keys, ["kind", "q"])
+        .join(lexicon.names, ["kind", "id"])
+        .filter(reachable)
+        .withColumn("sim", similarity(F.col("q.norm"), F.col("norm")))
         .filter(F.col("sim") >= floor)
         .withColumn("score", round4((1 - prior_weight) * F.col("sim") + prior_weight * prior))
+        .drop("lowest")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_rank")
+    rows = scored.join(asked.select(*ASKED).distinct(), ["kind", "q"]).filter(F.col("sim") >= F.col("threshold") - BELOW_THRESHOLD)
+    exact = F.col("norm") == F.col("q.norm")
+    order = Window.partitionBy(*ASKED).orderBy(F.desc("score"), "cand_rank")
     via = (
         F.when(exact, "exact")
-        .when(F.col("skeleton") == F.col("q_skeleton"), "skeleton")
-        .when(F.col("cologne") == F.col("q_cologne"), "phonetic")
+        .when(F.col("skeleton") == F.col("q.skeleton"), "skeleton")
+        .when(F.col("cologne") == F.col("q.cologne"), "phonetic")
         .otherwise("edit")
     )
     return (
-        scored.withColumn("position", F.row_number().over(order))
+        rows.withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= F.col("most"))
         .select(
-            "query_id", "kind", "position", "id", "name", "norm", "score", round4(F.col("sim")).alias("similarity"),
+            *ASKED, "position", "id", "name", "norm", "score", round4(F.col("sim")).alias("similarity"),
             F.col("prob").alias("probability"), F.col("rank_de").alias("rank"), "sources", exact.alias("exact"),
             via.alias("matched_via"), (exact | (F.col("sim") >= F.col("threshold"))).alias("confident"),
         )
     )
 
 
+def match(heard: DataFrame, lexicon: Lexicon, *, limit: Column | None = None, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
+    """The best matches of each heard name, ``position`` from 1."""
+    asked = asked_rows(heard, limit).select("query_id", *ASKED)
+    found = matches_of(asked.select(*ASKED).distinct(), lexicon, prior_weight)
+    return asked.join(found, ASKED).drop("q", "threshold", "most")
+
+
 def lookup(heard: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Each heard name with the entry of the same norm, if there is one."""
     keyed = heard.withColumn("norm", normalize(F.col("name"))).withColumnRenamed("name", "heard")

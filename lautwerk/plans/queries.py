@@ -1,6 +1,6 @@
 """Named queries over the driver's tables. Tokens of German documents are the family names, those of French ones the
-given names. The queries that match names or compare pairs use the seeds as their lexicon and misspelled seeds as what
-was heard."""
+given names. The queries that match names or compare pairs use this lexicon; what was heard are its names as customers
+misspell them, letters lost, doubled or in reverse. ``seed_`` queries do the same with the seeds."""
 
 from __future__ import annotations
 
@@ -37,7 +37,7 @@ def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("lang") == "de", "family").otherwise("given")
     return counted.select(
         kind.alias("kind"), F.struct("source", "name").alias("seq"), "name", "count", "source",
-        F.lit("").alias("origin"), F.array(F.regexp_replace("name", "[äöü]", "e")).alias("variants"),
+        F.lit("").alias("origin"), F.array(F.regexp_replace("name", "[äöü]", "e"), F.reverse("name")).alias("variants"),
     )
 
 
@@ -49,38 +49,54 @@ def token_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.ranked(lexicon.merge(token_records(spark, sf_dir)))
 
 
-_opened: dict[str, Lexicon] = {}
+_opened: dict[tuple[str, str], Lexicon] = {}
 
 
-def seed_lexicon(spark: SparkSession) -> Lexicon:
-    """The lexicon of the seeds, built and kept once per application."""
-    app = spark.sparkContext.applicationId
-    if app not in _opened:
-        _opened.clear()
-        _opened[app] = lexicon.build(records.seed_records(spark)).cache()
-    return _opened[app]
+def _kept(spark: SparkSession, name: str, make: Callable[[], Lexicon]) -> Lexicon:
+    """A lexicon that is built and kept once per application."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _opened:
+        for old in [k for k in _opened if k[0] != key[0]]:
+            del _opened[old]
+        _opened[key] = make().cache()
+    return _opened[key]
 
 
-def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names as misheard: customers take the seeds in turn and lose, double or swap a letter."""
-    names = [(k, n, kind) for kind, seeds in (("family", records.FAMILY), ("given", records.GIVEN)) for k, (n, _, _) in enumerate(seeds)]
-    table = spark.createDataFrame(names, "k long, full string, kind string")
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
-    kind = F.when(F.col("id") % 4 == 0, "given").otherwise("family")
-    size = F.when(F.col("id") % 4 == 0, len(records.GIVEN)).otherwise(len(records.FAMILY))
-    picked = rows.select("id", kind.alias("kind"), (F.col("id") % size).alias("k")).join(F.broadcast(table), ["kind", "k"])
-    at = F.col("id") % F.length("full") + 1
+def seed_lexicon(spark: SparkSession, sf_dir: str = "") -> Lexicon:
+    return _kept(spark, "seeds", lambda: lexicon.build(records.seed_records(spark)))
+
+
+def open_lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
+    """The lexicon of the documents' tokens."""
+    return _kept(spark, sf_dir, lambda: lexicon.build(token_records(spark, sf_dir)))
+
+
+def misheard(spark: SparkSession, sf_dir: str, lex: Lexicon) -> DataFrame:
+    """One name per customer, who takes the lexicon's names in turn and may lose or double a letter, or reverse the name."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("query_id"))
+    sizes = lex.names.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))  # one row per kind
+    kind = F.when(F.col("query_id") % 4 == 0, "given").otherwise("family")
+    picked = rows.withColumn("kind", kind).join(F.broadcast(sizes), "kind").withColumn("id", F.col("query_id") * STRIDE % F.col("n") + 1)
+    full = lex.names.select("kind", F.col("id").cast("long").alias("id"), F.col("name").alias("full"))
+    named = picked.join(full, ["kind", "id"])
+    at = F.col("query_id") % F.length("full") + 1
     left, right = F.left("full", at - 1), F.substr(F.col("full"), at + 1)
     letter = F.substr(F.col("full"), at, F.lit(1))
-    how = F.col("id") % 3
-    name = F.when(how == 0, F.concat(left, right)).when(how == 1, F.concat(left, letter, letter, right)).otherwise(F.col("full"))
-    return picked.select(F.col("id").alias("query_id"), name.alias("name"), "kind")
+    how = F.col("query_id") % 5
+    name = (
+        F.when(how == 0, F.concat(left, right)).when(how == 1, F.concat(left, letter, letter, right))
+        .when(how == 2, F.reverse("full")).otherwise(F.col("full"))
+    )
+    return named.select("query_id", name.alias("name"), "kind")
 
 
-def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Step in which customers go through the names.
+STRIDE = 101
+
+
+def name_pairs(spark: SparkSession, sf_dir: str, lex: Lexicon) -> DataFrame:
     """Heard norms with those of their candidates."""
-    lex = seed_lexicon(spark)
-    keyed = match.heard_keys(heard(spark, sf_dir))
+    keyed = match.heard_keys(misheard(spark, sf_dir, lex))
     pairs = match.candidates(keyed, lex).join(keyed.select("query_id", F.col("q_norm").alias("s")), "query_id")
     return pairs.join(lex.names.select("kind", "id", F.col("norm").alias("t")), ["kind", "id"]).select("s", "t").distinct()
 
@@ -95,7 +111,45 @@ def _flat(found: DataFrame) -> DataFrame:
 
 
 def hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(decide.hydrate(heard(spark, sf_dir), seed_lexicon(spark)))
+    lex = open_lexicon(spark, sf_dir)
+    return _flat(decide.hydrate(misheard(spark, sf_dir, lex), lex))
+
+
+#: A cap that many heard names reach.
+LOW_CAP = 8
+
+
+def _matching(opened: Callable[[SparkSession, str], Lexicon], prefix: str = "") -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries that match names, against one lexicon."""
+
+    def asked(f):
+        def run(spark, sf_dir):
+            lex = opened(spark, sf_dir)
+            return f(misheard(spark, sf_dir, lex), lex)
+
+        return run
+
+    def suggestions(h, x):
+        found = decide.suggest(h, x)
+        return found.select("query_id", "query", "kind", F.array_join("suggestions.name", "|").alias("suggestions"), F.col("followUp").alias("follow_up"))
+
+    def plain(h, x):
+        found = decide.hydrate_plain(h, x)
+        return found.select("query_id", "kind", "known", F.size("matches").alias("n"), F.array_join("variants", "|").alias("variants"), F.col("needsHuman").alias("needs_human"))
+
+    found = {
+        "candidates": asked(lambda h, x: match.candidates(match.heard_keys(h), x)),
+        "candidates_capped": asked(lambda h, x: match.candidates(match.heard_keys(h), x, LOW_CAP)),
+        "match_topk": asked(lambda h, x: match.match(h, x).withColumn("probability", F.round("probability", 12))),
+        "lookup": asked(lambda h, x: match.lookup(h, x).select("query_id", "kind", "heard", "norm", "name", "id")),
+        "probability": asked(lambda h, x: match.probability(h, x).withColumns({c: F.round(c, 9) for c in ("probability", "log_probability", "plausibility")})),
+        "variants_of": asked(lambda h, x: match.variants_of(h, x).withColumn("variants", F.array_join("variants", "|"))),
+        "suggest": asked(suggestions),
+        "hydrate_plain": asked(plain),
+        "hydrate": asked(lambda h, x: _flat(decide.hydrate(h, x))),
+        "follow_up_histogram": asked(lambda h, x: _flat(decide.hydrate(h, x)).groupBy("kind", "follow_up").agg(F.count(F.lit(1)).alias("n"))),
+    }
+    return {prefix + name: query for name, query in found.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -103,10 +157,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda s, d: words(s, d).select("name", form(F.col("name")).alias("value"))
 
     def pairs(form):
-        return lambda s, d: name_pairs(s, d).select("s", "t", F.round(form(F.col("s"), F.col("t")), 9).alias("value"))
+        return lambda s, d: name_pairs(s, d, open_lexicon(s, d)).select("s", "t", F.round(form(F.col("s"), F.col("t")), 9).alias("value"))
 
+    rounded = {c: F.round(c, 9) for c in ("prob", "log_prob", "plausibility")}
     return {
-        "hydrate": hydrated,
+        **_matching(open_lexicon),
+        **_matching(seed_lexicon, "seed_"),
         "normalize_tokens": scalar(text.normalize),
         "strip_accents": scalar(text.strip_accents),
         "split_prefix": lambda s, d: _bigrams(s, d).select("name", text.prefix_of(F.col("name")).alias("prefix"), text.core_of(F.col("name")).alias("core")),
@@ -121,19 +177,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "merged_variants": lambda s, d: lexicon.merged_variants(token_records(s, d)),
         "lexicon_rank": lambda s, d: token_lexicon(s, d).select("kind", "id", "name", "norm", F.round("prob", 12).alias("prob"), F.round("log_prob", 9).alias("log_prob")),
         "ngram_counts": lambda s, d: ngram.train(token_lexicon(s, d)),
-        "ngram_calibration": lambda s, d: _calibration(s, d),
-        "seed_names": lambda s, d: seed_lexicon(s).names.withColumns({c: F.round(c, 9) for c in ("prob", "log_prob", "plausibility")}),
+        "ngram_calibration": lambda s, d: _calibration(open_lexicon(s, d)),
+        "seed_calibration": lambda s, d: _calibration(seed_lexicon(s)),
+        "lexicon_names": lambda s, d: open_lexicon(s, d).names.withColumns(rounded),
+        "lexicon_variants": lambda s, d: open_lexicon(s, d).variants,
+        "seed_names": lambda s, d: seed_lexicon(s).names.withColumns(rounded),
         "seed_variants": lambda s, d: seed_lexicon(s).variants,
-        "candidates": lambda s, d: match.candidates(match.heard_keys(heard(s, d)), seed_lexicon(s)),
-        "match_topk": lambda s, d: match.match(heard(s, d), seed_lexicon(s)),
-        "lookup": lambda s, d: match.lookup(heard(s, d), seed_lexicon(s)).select("query_id", "kind", "heard", "norm", "name", "id"),
-        "probability": lambda s, d: match.probability(heard(s, d), seed_lexicon(s)).withColumn("plausibility", F.round("plausibility", 9)),
-        "variants_of": lambda s, d: match.variants_of(heard(s, d), seed_lexicon(s)).withColumn("variants", F.array_join("variants", "|")),
-        "suggest": lambda s, d: decide.suggest(heard(s, d), seed_lexicon(s)).select("query_id", "query", "kind", F.array_join("suggestions.name", "|").alias("suggestions"), F.col("followUp").alias("follow_up")),
-        "hydrate_plain": lambda s, d: decide.hydrate_plain(heard(s, d), seed_lexicon(s)).select("query_id", "kind", "known", F.size("matches").alias("n"), F.array_join("variants", "|").alias("variants"), F.col("needsHuman").alias("needs_human")),
-        "follow_up_histogram": lambda s, d: hydrated(s, d).groupBy("kind", "follow_up").agg(F.count(F.lit(1)).alias("n")),
-        "list_head": lambda s, d: browse.list_names(Lexicon(token_lexicon(s, d), None, None, None), "family", 100).select("name", "norm", F.round("prob", 12).alias("prob")),
-        "search_prefix": lambda s, d: browse.search(Lexicon(token_lexicon(s, d), None, None, None), "family", "Sch", 50).withColumn("names", F.array_join("names", "|")),
+        "list_head": lambda s, d: browse.list_names(open_lexicon(s, d), "family", 100).select("name", "norm", F.round("prob", 12).alias("prob")),
+        "search_prefix": lambda s, d: browse.search(open_lexicon(s, d), "family", "Sch", 50).withColumn("names", F.array_join("names", "|")),
         "lexicon_stats": lambda s, d: browse.stats(seed_lexicon(s)).select("kind", "entries", "probability_mass", "variants", F.size("licenses").alias("licenses")),
     }
 
@@ -143,7 +194,6 @@ def _bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+ \p{L}+"), 0)).alias("name")).distinct()
 
 
-def _calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = seed_lexicon(spark)
+def _calibration(lex: Lexicon) -> DataFrame:
     values = lex.meta.filter(F.col("key").isin("ngram_median", "ngram_spread"))
     return values.select("kind", "key", F.round(F.col("value").cast("double"), 9).alias("value"))

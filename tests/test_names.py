@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lautwerk import Names, build, cologne, core_of, normalize, prefix_of, skeleton, spell_out
-from lautwerk.functions.distance import blend, edit_cost, jaro_value
+from lautwerk.functions.distance import COSTS, blends, edit_costs, jaro_values
 from lautwerk.operators import match
 from lautwerk.sources import records
 
@@ -52,7 +52,48 @@ def test_null_name(spark):
     ],
 )
 def test_distances(s, t, edit, jaro, whole):
-    assert (edit_cost(s, t), jaro_value(s, t), blend(s, t)) == pytest.approx((edit, jaro, whole), abs=1e-6)
+    assert [f([s], [t])[0] for f in (edit_costs, jaro_values, blends)] == pytest.approx([edit, jaro, whole], abs=1e-6)
+
+
+def edit_by_recursion(s, t):
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def d(i, j):
+        if not i or not j:
+            return float(i or j)
+        a, b = s[i - 1], t[j - 1]
+        best = min(d(i - 1, j - 1) + (0 if a == b else COSTS.get(a + b, 1.0)), d(i - 1, j) + 1, d(i, j - 1) + 1)
+        if i > 1 and j > 1 and a == t[j - 2] and s[i - 2] == b:
+            best = min(best, d(i - 2, j - 2) + 0.7)
+        return best
+
+    return d(len(s), len(t))
+
+
+def jaro_by_hand(s, t):
+    if s == t:
+        return 1.0
+    reach, left, mine = max(max(len(s), len(t)) // 2 - 1, 0), dict(enumerate(t)), []
+    for i, c in enumerate(s):
+        j = next((j for j in sorted(left) if left[j] == c and abs(i - j) <= reach), None)
+        if j is not None:
+            del left[j]
+            mine.append(c)
+    theirs = [c for j, c in enumerate(t) if j not in left]
+    m = len(mine)
+    return (m / len(s) + m / len(t) + (m - sum(a != b for a, b in zip(mine, theirs)) // 2) / m) / 3 if m else 0.0
+
+
+def test_distances_by_brute_force():
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeoinmck" if rng.random() < 0.8 else "zyéß日") for _ in range(rng.randrange(12)))
+    pairs = [(word(), word()) for _ in range(2000)] + [("", ""), ("a", ""), ("日", "本")]
+    s, t = map(list, zip(*pairs))
+    assert edit_costs(s, t).tolist() == pytest.approx([edit_by_recursion(a, b) for a, b in pairs])
+    assert jaro_values(s, t).tolist() == pytest.approx([jaro_by_hand(a, b) for a, b in pairs])
 
 
 def test_spelling(spark):
@@ -129,6 +170,31 @@ def test_display_name_depends_on_order(spark):
     assert set(found) == {"muller", "mueller"}
 
 
+def test_ranks_do_not_depend_on_cells(spark):
+    from lautwerk.operators.lexicon import ranked
+
+    names = ["Mueller", "Muller", "Müller", "Oz", "ozan", "Öztürk", "Zimmer", "ßa", "Æb", "aez", "łu", "ðe", "'t", "日本", "Łz", "Ägypten", "a"]
+    rows = [("family", n, f"n{k}", float(k % 3), "", "s") for k, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "kind string, name string, norm string, total double, origin string, sources string")
+    plain = {r["name"]: r["id"] for r in ranked(df).collect()}
+    assert {r["name"]: r["id"] for r in ranked(df, ["aez", "Müller", "ßa"]).collect()} == plain
+    assert sorted(plain.values()) == list(range(1, len(names) + 1))
+
+
+def test_calibration_by_index(spark):
+    from lautwerk.functions import ngram
+
+    rows = [("family", f"n{k}", x) for k, x in enumerate([-1.0, -2.0, -3.0, -4.0])] + [("given", "a", -2.5)]
+    found = {r["kind"]: (r["median"], r["spread"]) for r in ngram.calibrate(spark.createDataFrame(rows, "kind string, norm string, mean_log double")).collect()}
+    assert found == {"family": (-2.0, 2.0), "given": (-2.5, 1e-6)}
+
+
+def test_same_id_with_several_names(spark, names):
+    rows = [(2, "Müller", "family"), (2, "Schmit", "family"), (None, "Schmit", "family"), (5, "  ", "family")]
+    found = names.hydrate_all(spark.createDataFrame(rows, "query_id long, name string, kind string")).collect()
+    assert sorted((r["query"], r["best"]["name"] if r["best"] else None) for r in found) == [("  ", None), ("Müller", "Müller"), ("Schmit", "Schmidt"), ("Schmit", "Schmidt")]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿Name,Country_Code,Count\r\n"Müller",de,3\r\nX,fr,2\r\n\r\nY,DE,0\r\n')
     got = records.country_records(spark, str(tmp_path / "a.csv"), "DE", "s").collect()
