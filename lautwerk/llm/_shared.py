@@ -1,57 +1,17 @@
-"""What the operators of this subpackage share: durable intermediate tables and word rules."""
+"""What the operators of this subpackage share: joins of checked sizes and word rules; written tables are the library's."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop, durable, release, shared_dir  # noqa: F401
+
 #: Separators of words: space and the ASCII controls tab to carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session, whose driver is its one executor,
-    may do without: it gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = os.path.join(tempfile.gettempdir(), f"lautwerk-{uuid.uuid4().hex}")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back.
-
-    This cuts the lineage, keeps what was computed when an executor is lost, and lets several
-    branches read one result.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lautwerk/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.durable_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def drop(*tables: DataFrame | None) -> None:
-    """Deletes tables that ``durable`` returned; nothing that is still to run may read them."""
-    for t in tables:
-        if t is not None:
-            _delete(t.sparkSession, t.durable_path)
-
-
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """A written table with a broadcast hint if it has at most ``rows`` rows, else as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -73,11 +33,6 @@ def join_spread(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(many, keys).unionByName(rest.join(few, keys, how))
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes this application's tables from the shared folder, once its results are written."""
-    _delete(spark, f"{shared_dir(spark)}/lautwerk/{spark.sparkContext.applicationId}")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -110,29 +110,44 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
     return np.log(p[1]) - np.log(p[0])
 
 
-def kth_largest(rows: DataFrame, k: int) -> tuple[float, int] | None:
-    """The key and id of the k-th row of ``rows`` (``key, doc_id``) by falling key and rising id; None for all."""
-    low, high, n = rows.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
-    if k >= n:
-        return None
+def _kth(rows: DataFrame, name: str, k: int) -> tuple[float | int, int]:
+    """The k-th smallest value of a column without nulls, and how many of its rows are among the first k.
+
+    A histogram is refined until its bin has one value, or few enough rows to be ordered at once.
+    """
+    low, high, n = rows.agg(F.min(name), F.max(name), F.count(F.lit(1))).first()
     inside, left = rows, k
-    while True:
+    while low != high and n > LAST_ROWS:
         width = (high - low) / BINS
-        if not width or low + width == low:
-            break
-        place = F.least(F.floor((F.col("key") - low) / width), F.lit(BINS - 1)).cast("int")
-        bins = inside.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
-        for b in sorted(bins.collect(), key=lambda r: -r["bin"]):  # BINS rows at most
+        place = F.least(F.floor((F.col(name) - low) / width), F.lit(BINS - 1)).cast("int")
+        bins = inside.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("a"), F.max(name).alias("b"))
+        for b in sorted(bins.collect(), key=lambda r: r["bin"]):  # BINS rows at most
             if left <= b["n"]:
                 break
             left -= b["n"]
-        low, high = b["a"], b["b"]
-        inside = inside.filter(F.col("key").between(low, high))
-        if b["n"] <= LAST_ROWS:
-            break
-    last = inside.orderBy(F.desc("key"), F.asc_nulls_first("doc_id")).limit(left)
-    at = last.orderBy("key", F.desc_nulls_last("doc_id")).first()
-    return at["key"], at["doc_id"]
+        if (b["a"], b["b"]) == (low, high):  # neighbouring numbers
+            below = inside.filter(F.col(name) == low).count()
+            low, left = (low, left) if left <= below else (high, left - below)
+            return low, left
+        low, high, n = b["a"], b["b"], b["n"]
+        inside = inside.filter(F.col(name).between(low, high))
+    if low != high:
+        values = sorted(r[0] for r in inside.select(name).collect())  # LAST_ROWS at most
+        low = values[left - 1]
+        left -= sum(v < low for v in values)
+    return low, left
+
+
+def kth_largest(rows: DataFrame, k: int) -> tuple[float, int] | None:
+    """The key and id of the k-th row of ``rows`` (``key, doc_id``) by falling key and rising id, null first; None for all."""
+    if k >= rows.count():
+        return None
+    key, left = _kth(rows.select((-F.col("key")).alias("key")), "key", k)
+    tied = rows.filter(F.col("key") == -key)
+    nulls = tied.filter("doc_id is null").count()
+    if left <= nulls:
+        return -key, None
+    return -key, _kth(tied.filter("doc_id is not null"), "doc_id", left - nulls)[0]
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROWS, slack: float = SLACK) -> DataFrame:
@@ -162,7 +177,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLE
     )
     if share is None:
         return scored.select("doc_id", "log_weight", F.lit(True).alias("kept"))
-    k = int(round(scored.count() * (share + (1 - share) * slack)))
+    k = max(1, int(round(scored.count() * (share + (1 - share) * slack))))
     edge = kth_largest(scored.select("key", "doc_id"), k)
     if edge is None:
         kept = F.lit(True)

@@ -28,8 +28,8 @@ from ._shared import SEPARATOR_CHARS, broadcast_if_small, durable, words
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 10
-MAX_SHARE = 0.10
-MIN_KEPT_PERCENT = 30
+MAX_SHARE = 0.01
+MIN_KEPT_PERCENT = 50
 #: Common lines up to which their table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
 #: Windows of a text up to which hash and place are packed into one long.

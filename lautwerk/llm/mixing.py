@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._shared import KEY_BITS, SEPARATOR_CHARS, broadcast_if_small, durable, spread_key, words
 
 #: Rows of a cell, on average.
-CELL_ROWS = 20_000
+CELL_ROWS = 4_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
@@ -117,17 +117,25 @@ def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     A document cut at a budget's edge ends after its last word taken, words joined by single spaces;
     there is one such row per source at most. Rows with no words taken go.
     """
-    shares = mixed.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "size", "taken").distinct()
-    # rows repeated with one id are interchangeable: each gets the largest share among them
-    shares = shares.groupBy("__id", "__source", F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
-    names = docs.columns
+    key = ["__id", "__source", "__size"]
+    rows = mixed.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    groups = durable(rows.groupBy(*key).agg(F.max("__taken").alias("__taken"), F.min("__taken").alias("__least")), "mixing-shares")
     sized = docs.withColumn("__n", F.size(words(F.col("text"))).cast("long"))
-    joined = sized.join(
-        shares,
-        F.col("doc_id").eqNullSafe(F.col("__id"))
-        & F.col("source").eqNullSafe(F.col("__source"))
-        & (F.col("__n") == F.col("__size")),
-    ).filter("__taken > 0")
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
+    )
+    plain = sized.join(groups.filter("__taken > 0 and __taken = __least").drop("__least"), same)
+    # rows repeated with one id, source and size are neighbours in the order; only at a source's edge are they taken
+    # differently, so this is one group per source at most, whose rows are numbered on both sides
+    edge = broadcast_if_small(groups.filter("__taken > __least").select(*key), BROADCAST_ROWS)
+    matched = [F.col(c).eqNullSafe(F.col("e" + c)) for c in key]
+    shares = rows.join(edge.toDF(*("e" + c for c in key)), matched, "left_semi").withColumn(
+        "__row", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("__taken")))
+    )
+    order = Window.partitionBy("doc_id", "source", "__n").orderBy(F.xxhash64("text"))
+    twins = sized.join(edge, same, "left_semi").withColumn("__place", F.row_number().over(order))
+    cut_ = twins.join(shares.filter("__taken > 0"), same & (F.col("__place") == F.col("__row"))).drop("__place", "__row")
+    joined = plain.unionByName(cut_)
     whole = F.floor(F.col("__taken") / F.col("__n")).cast("int")
     cut = (F.col("__taken") % F.col("__n")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))
@@ -135,7 +143,7 @@ def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     return (
         joined.withColumn("__cut", F.explode(copies))
         .withColumn("text", F.when(F.col("__cut") > 0, head).otherwise(F.col("text")))
-        .select(*names)
+        .select(*docs.columns)
     )
 
 

@@ -711,3 +711,25 @@ def link(docs: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return link(docs)
+
+
+#: For unique ids: all pairs that share a shingle, and what links reach.
+ORACLE = """
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ \\x09-\\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM texts WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)),
+both_ AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM sizes UNION SELECT r.id, e.b FROM reach r JOIN both_ e ON r.other = e.a)
+SELECT t.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, coalesce(r.component, t.doc_id) AS component_id, coalesce(k.n, 0)::BIGINT AS n_links
+FROM texts t LEFT JOIN sizes z USING (doc_id)
+LEFT JOIN (SELECT id, min(other) AS component FROM reach GROUP BY id) r ON r.id = t.doc_id
+LEFT JOIN (SELECT a, count(*) AS n FROM both_ GROUP BY a) k ON k.a = t.doc_id
+"""

@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": sharding.ORACLE,
+        "op5_jaccard_join": parity_join.ORACLE,
         "op6_chat_formatting": chat_format.ORACLE,
         "op7_quality_rules": line_quality.ORACLE,
         "op8_mixing": mixing.ORACLE,

@@ -30,16 +30,17 @@ ROUND_BITS = 8
 BROADCAST_ROWS = 50_000
 
 
-def assign(docs: DataFrame, *, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, depth, prefix, shard, oversized``.
+def assign(docs: DataFrame, *, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: ``doc_id, n_bytes, depth, prefix, oversized``, the columns to ``carry`` along, and ``shard``.
 
-    ``prefix`` is the bit string of the shard and ``shard`` its label ``<depth>-<prefix in hex>``.
+    ``prefix`` is the bit string of the shard and ``shard`` its label ``<depth>-<prefix in bits>``.
     """
     rows = durable(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
             spread_key(F.col(id_col)).alias("key"),
+            *carry,
         ).withColumn("second", spread_key(F.col("key"), F.monotonically_increasing_id())),
         "sharding-rows",
     )
@@ -76,7 +77,7 @@ def assign(docs: DataFrame, *, limit: int = SHARD_BYTES, id_col: str = "doc_id",
         label = F.when(F.col("depth") == low, F.lit("")).otherwise(at_word)
         settled.append(
             placed.filter("depth is not null").select(
-                "doc_id", "n_bytes", "depth", F.concat(_bits("key", KEY_BITS) if low else F.lit(""), label).alias("prefix"), "oversized"
+                "doc_id", "n_bytes", "depth", F.concat(_bits("key", KEY_BITS) if low else F.lit(""), label).alias("prefix"), "oversized", *carry
             )
         )
         left = cells.agg(F.max("bytes"), F.max("rows")).first()
@@ -101,13 +102,17 @@ def _bits(name: str, width: int):
 
 
 def write_shards(docs: DataFrame, path: str, *, limit: int = SHARD_BYTES, id_col: str = "doc_id") -> None:
-    """Writes ``docs`` as a table partitioned by ``shard``. The id must be unique."""
-    shards = assign(docs, limit=limit, id_col=id_col).select(F.col("doc_id").alias("__id"), "shard")
-    joined = docs.join(shards, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes ``docs`` as a table partitioned by ``shard``. Rows are numbered first, so that ids may repeat."""
+    numbered = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "sharding-input")
+    shards = assign(numbered, limit=limit, id_col=id_col, carry=("__row",)).select("__row", "shard")
+    numbered.join(shards, "__row").drop("__row").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
-def query(spark, sf_dir: str, limit: int = SHARD_BYTES) -> DataFrame:
+#: The limit of the query, which parts even small tables to several depths.
+QUERY_BYTES = 1 << 18
+
+
+def query(spark, sf_dir: str, limit: int = QUERY_BYTES) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"), limit=limit)
 
 
@@ -121,8 +126,8 @@ n AS (
   FROM r, range(0, 21) d(depth)),
 s AS (SELECT *, sum(n_bytes) OVER (PARTITION BY depth, node) AS bytes, count(*) OVER (PARTITION BY depth, node) AS n FROM n),
 f AS (
-  SELECT doc_id, n_bytes, min(depth) AS depth, arg_min(node, depth) AS node, arg_min(bytes, depth) > {SHARD_BYTES} AS oversized
-  FROM s WHERE bytes <= {SHARD_BYTES} OR n = 1 GROUP BY doc_id, n_bytes),
+  SELECT doc_id, n_bytes, min(depth) AS depth, arg_min(node, depth) AS node, arg_min(bytes, depth) > {QUERY_BYTES} AS oversized
+  FROM s WHERE bytes <= {QUERY_BYTES} OR n = 1 GROUP BY doc_id, n_bytes),
 p AS (SELECT *, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(node), depth, '0') END AS prefix FROM f)
 SELECT doc_id, n_bytes, depth, prefix, oversized, depth::VARCHAR || '-' || coalesce(nullif(prefix, ''), '0') AS shard FROM p
 """

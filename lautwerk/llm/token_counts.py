@@ -31,7 +31,7 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 TABLE_ROWS = 1 << 16
 #: Documents, and characters of each, that the table is fitted on.
 SAMPLE_DOCS = 4096
-SAMPLE_CHARS = 1 << 16
+SAMPLE_CHARS = 1 << 14
 #: Entries of a worker's cache, after which it begins anew from the table.
 CACHE_ROWS = 1 << 19
 CACHED_CHARS = 64
@@ -121,10 +121,13 @@ def _counter(path: str, broadcast) -> PreTokenCounter:
 
 
 def frequent_pre_tokens(docs: DataFrame, path: str, text: str = "text", rows: int = TABLE_ROWS) -> Table:
-    """The table, fitted on the documents whose hash is lowest, ``SAMPLE_DOCS`` of them or about so many."""
+    """The table, fitted on a random sample of about ``SAMPLE_DOCS`` rows, twice as many at most."""
     n = docs.count()
-    sample = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).filter(
-        F.pmod(F.xxhash64("t"), F.lit(max(1, n // SAMPLE_DOCS))) == 0
+    sample = (
+        docs.sample(min(1.0, SAMPLE_DOCS / max(1, n)), 7)
+        .select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"))
+        .filter("t is not null")
+        .limit(2 * SAMPLE_DOCS)
     )
 
     def fit(batches):

@@ -20,6 +20,7 @@ rows, empty tables and extra columns pass through; ``host path rule verdict`` ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -209,9 +210,62 @@ QUERY_RULES = (
     HostRule("block", "example.com", "/de/"),
     HostRule("allow", "org", "/fr/"),
 )
-#: What decides where no rule fits: names of betting, pill, tracking and spam sites.
-SPAM_WORDS = ("casino", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-")
-QUERY_GLOBS = tuple(("block", f"**{word}**") for word in SPAM_WORDS)
+#: What decides where no rule fits, the first that does: pages that are always let through, then hosts and paths of
+#: advertising, tracking, betting, pills, file dumps, feeds and machine pages.
+ALLOWED = ("**/robots.txt", "**/security.txt", "*.edu/**", "*.gov/**", "*.ac.??/**", "*.museum/**", "docs.*/**", "wiki.*/**")
+AD_HOSTS = (
+    "ad.*", "ads.*", "ad?.*", "ads?.*", "adserv*.*", "adserver*.*", "adtrack*.*", "banner*.*", "click*.*", "counter*.*", "doubleclick.*",
+    "metrics.*", "pixel*.*", "pop*under.*", "promo*.*", "sponsor*.*", "stat?.*", "stats.*", "tag?.*", "telemetry.*", "track*.*", "tracker*.*",
+    "*.adform.*", "*.adnxs.*", "*.adsrvr.*", "*.criteo.*", "*.doubleclick.*", "*.outbrain.*", "*.scorecardresearch.*", "*.taboola.*",
+)
+AD_PATHS = (
+    "/ad/**", "/ads/**", "/adframe*", "/adserv*/**", "/adview*", "/affiliate?/**", "/banner?/**", "/beacon*", "/click*redirect*", "/pixel.???",
+    "/popunder*", "/sponsor*/**", "/track*/pixel*", "/tracking/**", "/utm_*/**", "/**/ad_*.js", "/**/ads/**", "/**/banner-???x??.*",
+    "/**/banner-???x???.*", "/**/pagead/**", "/**/tracker*.js",
+)
+MACHINE_PATHS = (
+    "/cgi-bin/**", "/wp-admin/**", "/wp-json/**", "/wp-login.php", "/xmlrpc.php", "/feed/", "/feed/**", "/**/feed/", "/rss.xml", "/**/rss*.xml",
+    "/atom.xml", "/sitemap*.xml", "/search/**", "/**/search/*", "/tag/*/page/*", "/tags/*/page/*", "/category/*/page/*", "/archive/????/??/**",
+    "/calendar/????-??-??*", "/cart/**", "/checkout/**", "/login*", "/signin*", "/signup*", "/register*", "/account/**", "/user/*/edit",
+    "/print/**", "/**/print-*", "/share/**", "/**/share?to=*", "/api/v?/**", "/graphql", "/**/*.zip", "/**/*.exe", "/**/*.apk", "/**/*.iso",
+    "/**/*.rar", "/**/*.7z", "/**/*.torrent", "/**/*.mp?", "/**/*.avi", "/**/*.jp?g", "/**/*.png", "/**/*.gif", "/**/*.css", "/**/*.js",
+)
+TRADE = (
+    "casino", "poker", "roulette", "blackjack", "jackpot", "slot-machine", "free-bets", "sportsbook", "betting-tips", "lottery-win",
+    "cheap-pills", "no-prescription", "weight-loss-pill", "payday-loan", "quick-loan", "forex-signal", "crypto-giveaway", "double-your",
+    "replica-watch", "essay-writing-service", "ads-track", "spam-farm", "link-exchange", "seo-backlink", "adult-", "xxx-", "escort-",
+    "webcam-girls", "keygen", "serial-key", "warez", "nulled-", "crack-download", "free-movie-stream",
+)
+#: Where such a name may stand: as a host, in a host, and as part of the path.
+TRADE_PLACES = ("{}*.*/**", "*.{}*.*/**", "*-{}*.*/**", "*{}*.*", "*/{}**", "*/**/{}**", "*/**-{}**")
+
+
+def _block_globs() -> list[str]:
+    hosts = [host + "/**" for host in AD_HOSTS] + list(AD_HOSTS)
+    paths = ["*" + path for path in (*AD_PATHS, *MACHINE_PATHS)]
+    return hosts + paths + [place.format(word) for word in TRADE for place in TRADE_PLACES]
+
+
+QUERY_GLOBS = (*(("allow", glob) for glob in ALLOWED), *(("block", glob) for glob in _block_globs()))
+
+
+def glob_regex(glob: str) -> str:
+    """The same as a regular expression for all of a text, for SQL."""
+    parts = {"any": ".*", "run": "[^/]*", "one": "[^/]"}
+    out, raw = "", b""
+    for kind, byte in [*_parse(glob), ("end", b"")]:
+        if kind == "char":
+            raw += byte
+            continue
+        out += re.sub(r"([^\w/-])", r"\\\1", raw.decode()) + parts.get(kind, "")
+        raw = b""
+    return out
+
+
+def _fits(verdict: str) -> str:
+    pattern = "|".join(glob_regex(g) for v, g in QUERY_GLOBS if v == verdict)
+    return f"regexp_full_match(host || path, '(?s)({pattern})')"
+
 
 _HOST = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)"
 ORACLE = f"""
@@ -229,8 +283,7 @@ r AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.com/de/', 'net/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN {" OR ".join(f"contains(host || path, '{w}')" for w in SPAM_WORDS)} THEN 'block'
-    ELSE 'allow' END AS verdict
+    WHEN {_fits("allow")} THEN 'allow' WHEN {_fits("block")} THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
 

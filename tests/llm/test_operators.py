@@ -190,6 +190,62 @@ def test_importance(spark, docs, empty):
     assert importance.classify(empty, labels).count() == 0
 
 
+def test_importance_by_brute_force(spark):
+    """Counts, weights and the sample against a plain version of the model."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from lautwerk.llm._hashing import words as hashed
+
+    rng = random.Random(14)
+    rows = [(k, text(rng, rng.randrange(40), 50), "en", "s", 0, 1) for k in range(60)] + [(60, None, "en", "s", 0, 1), (None, "a b", "en", "s", 0, 1), (3, "a b c", "en", "s", 0, 1)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(0, 40)] + [(1, None, 0), (None, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"size": "log_weight", "lang": "kept"})
+    good = {k for k in range(40) if k % 2} | {2}
+
+    def buckets(t):
+        data = (t or "").encode()
+        w, _ = hashed([data])
+        pair = (importance.mix(w[:-1]) + w[1:]).tolist()
+        runs = [int.from_bytes(data[i : i + 4], "little") for i in range(len(data) - 3)]
+        one = lambda x, f: int(importance._bucket(np.array([x], np.uint64), f)[0])
+        return [one(x, 0) for x in w] + [one(x, 1) for x in pair] + [one(x, 2) for x in runs]
+
+    raw, target = Counter(), Counter()
+    for doc, t, *_ in rows:
+        raw.update(buckets(t))
+        if doc in good:
+            target.update(buckets(t))
+    n, (a, b) = importance.BUCKETS, (sum(target.values()), sum(raw.values()))
+    ratio = lambda g: math.log((target[g] + 1) / (a + n)) - math.log((raw[g] + 1) / (b + n))
+    found = importance.classify(df, labels, slack=0.0).collect()
+    want = {(doc, t): sum(map(ratio, buckets(t))) for doc, t, *_ in rows}
+    assert sorted((r["doc_id"] or -1, round(r["log_weight"], 6)) for r in found) == sorted((k or -1, round(v, 6)) for (k, _), v in want.items())
+
+    def key(r):
+        digest = hashlib.md5((str(r["doc_id"]) if r["doc_id"] is not None else "\x00").encode()).hexdigest()
+        return r["log_weight"] - math.log(-math.log((int(digest[:13], 16) + 0.5) / 2**52))
+
+    labelled = [k for k, *_ in rows if k is not None and k < 40]  # as often as in the documents
+    k = round(len(rows) * sum(x in good for x in labelled) / len(labelled))
+    order = sorted(found, key=lambda r: (-key(r), r["doc_id"] is not None, r["doc_id"] or 0))
+    assert [r["kept"] for r in order] == [True] * k + [False] * (len(rows) - k)
+
+
+def test_kth_of_ties(spark, monkeypatch):
+    monkeypatch.setattr(importance, "LAST_ROWS", 5)
+    monkeypatch.setattr(importance, "BINS", 4)
+    rng = random.Random(15)
+    rows = [(float(rng.randrange(4)), k if k % 7 else None) for k in range(200)] + [(1.0, 5)] * 30
+    order = sorted(rows, key=lambda r: (-r[0], r[1] is not None, r[1] or 0))
+    df = spark.createDataFrame(rows, "key double, doc_id long").cache()
+    for k in (1, 2, 17, 60, 100, 150, 229):
+        assert importance.kth_largest(df, k) == order[k - 1]
+    assert importance.kth_largest(df, 230) is None
+
+
 def test_mixing(docs, empty, rows):
     found = mixing.query(docs).collect()
     assert len(found) == len(rows)
@@ -211,7 +267,16 @@ def test_mixed_rows(docs):
     out = mixing.expand(docs, mixed)
     assert out.columns == docs.columns
     n = out.select(F.sum(F.size(mixing.words(F.col("text"))))).first()[0]
-    assert n >= mixed.agg(F.sum("taken")).first()[0]
+    assert n == mixed.agg(F.sum("taken")).first()[0]
+
+
+@pytest.mark.parametrize("share", [0.5, 0.7, 1.3, 1.5])
+def test_mixed_repeated_rows(spark, share):
+    rows = [(1, "a b c d e f g", "en", "s", 0, 1)] * 4 + [(None, "x y z", "en", None, 0, 1)] * 3 + [(2, None, "en", "s", 0, 1)] * 2
+    df = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"size": "taken", "lang": "target"})
+    mixed = mixing.mix(df, share=share)
+    n = mixing.expand(df, mixed).select(F.sum(F.size(mixing.words(F.col("text"))))).first()[0]
+    assert n == mixed.agg(F.sum("taken")).first()[0]
 
 
 @pytest.mark.parametrize("limit", [200, 2000, 10**9])
@@ -242,6 +307,17 @@ def test_sharding_equal_keys(spark):
     assert len(found) == 50 and max(shards.values()) <= 1000
 
 
+def test_written_shards_keep_repeated_ids(spark, tmp_path):
+    rows = [(k % 3, f"text {k % 5} " * 9, "en", "s", 0, 1) for k in range(40)]
+    df = spark.createDataFrame(rows, DOCS)
+    sharding.write_shards(df, str(tmp_path / "shards"), limit=500)
+    out = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(tuple(r) for r in out.select(*df.columns).collect()) == sorted(rows)
+    sizes = out.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("c")).collect()
+    assert len(sizes) > 3 and all(r["n"] <= 500 or r["c"] == 1 for r in sizes)
+    assert sharding.assign(df.limit(0)).count() == 0
+
+
 def test_chat(spark):
     turns = [
         (1, 0, "system", "s"), (1, 1, "user", "a\\<|im_end|>\n<|x"), (1, 2, "assistant", None), (1, 3, "user", "q"), (1, 4, "assistant", "<\\|\\n"),
@@ -272,6 +348,26 @@ def test_urls(spark):
     ]
 
 
+def test_query_globs_against_regex():
+    rng = random.Random(16)
+    words = [*url_filter.TRADE, "ads", "track", "feed", "example", "org", "print-x", "wiki", "ac.uk", "edu", "banner-120x60.gif", "a.zip", "v1", "api", "2020", "05"]
+    texts = ["/".join(".".join(rng.choice(words) + rng.choice(["", "1", "-x"]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    globs = [g for _, g in url_filter.QUERY_GLOBS]
+    patterns = [re.compile(url_filter.glob_regex(g), re.S) for g in globs]
+    found = url_filter.GlobAutomaton(globs).first_match([t.encode() for t in texts]).tolist()
+    assert found == [next((k for k, p in enumerate(patterns) if p.fullmatch(t)), -1) for t in texts]
+    assert len(globs) > 300 and len(set(found)) > 60
+
+
+def test_urls_of_odd_rows(spark):
+    rows = [(k, u, "h", "p", "r", "v") for k, u in enumerate(["http://x.example.org/" + "a" * 300_000, None, "http://x.example.org/ads/1", "http://wiki.x.org/ads/1"] * 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, path string, rule string, verdict string")
+    found = url_filter.filter_urls(df, url_filter.QUERY_RULES, url_filter.QUERY_GLOBS)
+    assert found.columns == df.columns
+    assert [r["verdict"] for r in found.orderBy("page_id").collect()] == ["allow", "allow", "block", "allow"] * 2
+    assert url_filter.query(df.limit(0)).count() == 0
+
+
 def test_globs_against_regex():
     rng = random.Random(6)
     for _ in range(200):
