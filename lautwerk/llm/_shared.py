@@ -17,6 +17,8 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Ids up to which their table is broadcast to pick rows; beyond it the join shuffles.
+BROADCAST_IDS = 2_000_000
 #: Keys that ``join_spread`` broadcasts at most.
 HOT_KEYS = 10_000
 

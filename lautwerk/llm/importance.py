@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import CHUNK_BYTES, mix, words
@@ -150,9 +150,12 @@ def kth_largest(rows: DataFrame, k: int) -> tuple[float, int] | None:
     return -key, _kth(tied.filter("doc_id is not null"), "doc_id", left - nulls)[0]
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROWS, slack: float = SLACK) -> DataFrame:
-    """One row per document: ``doc_id, log_weight, kept``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def classify(
+    docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROWS, slack: float = SLACK, carry: dict[str, Column] | None = None
+) -> DataFrame:
+    """One row per document: ``doc_id, log_weight, kept``, and columns to ``carry`` along, computed from ``docs``."""
+    more = list(carry or {})
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c.alias(name) for name, c in (carry or {}).items()))
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
     sample = durable(known.orderBy(F.xxhash64("id"), "id").limit(labelled_rows), "labels")
     present = docs.select("doc_id").join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
@@ -170,13 +173,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLE
 
     uniform = (spread_key(F.col("doc_id")) + 0.5) / float(2**KEY_BITS)
     scored = durable(
-        docs.select("doc_id", weight(F.coalesce("text", F.lit(""))).alias("log_weight")).withColumn(
+        docs.select("doc_id", *more, weight(F.coalesce("text", F.lit(""))).alias("log_weight")).withColumn(
             "key", F.col("log_weight") - F.log(-F.log(uniform))
         ),
         "importance",
     )
     if share is None:
-        return scored.select("doc_id", "log_weight", F.lit(True).alias("kept"))
+        return scored.select("doc_id", "log_weight", F.lit(True).alias("kept"), *more)
     k = max(1, int(round(scored.count() * (share + (1 - share) * slack))))
     edge = kth_largest(scored.select("key", "doc_id"), k)
     if edge is None:
@@ -185,7 +188,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLE
         at = F.col("key") == edge[0]
         first = F.col("doc_id").isNull() if edge[1] is None else F.col("doc_id").isNull() | (F.col("doc_id") <= edge[1])
         kept = (F.col("key") > edge[0]) | (at & first)
-    return scored.select("doc_id", "log_weight", kept.alias("kept"))
+    return scored.select("doc_id", "log_weight", kept.alias("kept"), *more)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

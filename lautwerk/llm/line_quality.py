@@ -212,13 +212,13 @@ def judge(
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The documents that are kept, all columns, with ``text`` freed of the lines above the limit."""
     judged = judge(docs, **limits).filter("kept").select("doc_id", "source", "text_hash", "removed_lines").distinct()
-    names = {"doc_id": "k_id", "source": "k_source", "text_hash": "k_hash"}
+    names = {"doc_id": "__id", "source": "__source", "text_hash": "__hash", "removed_lines": "__removed"}
     same = (
-        F.col("doc_id").eqNullSafe(F.col("k_id"))
-        & F.col("source").eqNullSafe(F.col("k_source"))
-        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("k_hash"))
+        F.col("doc_id").eqNullSafe(F.col("__id"))
+        & F.col("source").eqNullSafe(F.col("__source"))
+        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
     )
-    left = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("removed_lines")))
+    left = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("__removed")))
     return docs.join(judged.withColumnsRenamed(names), same).withColumn("text", left).select(*docs.columns)
 
 

@@ -207,7 +207,7 @@ def band_lanes(found: np.ndarray, rank: np.ndarray, band: int, differ: int) -> t
     ``rank`` is the frequency class of each shingle, 0 for rare ones.
     """
     top = 4 ** (band + 1) - 1
-    salt, none = np.uint64(band + 1) * _BAND_SEED, found[:0]
+    salt, none = np.uint64((band + 1) * int(_BAND_SEED) % (1 << 64)), found[:0]
     if top <= SMALL_SET:
         return _ordered(found, found, rank, salt, differ + 1), none
     place = mix(found ^ _ODD) & np.uint64((top + 1) // 2 - 1)
