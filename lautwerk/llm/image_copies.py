@@ -1,64 +1,68 @@
 """Media columns: cropped or edited copies of images found by local descriptors.
 
-Images are binary columns in PGM (``P5``, 8 bits). Corners are local maxima of the Harris response at several scales;
-each gets the direction of its patch's intensity centroid and 256 binary tests turned by it, so brightness, contrast,
-cropping and turning leave most descriptors as they are. A descriptor is four 64-bit words; two within a Hamming distance of 3
-share a word, so the words are the tables of the join. Matches whose places differ by the same shift (in cells
-of ``CELL`` pixels) agree; an image is a copy if ``INLIERS`` distinct corners agree.
-
-Images of equal bytes are one class, named by its smallest id; only classes are described and joined, so a third
-of all rows may be one image. Equal descriptors are one row of the join, so a flat corner that all classes share is
-met once. A word of many distinct descriptors is a key together with a block of the other bits; two within the distance agree
-in one of four blocks as well, so no pair is lost. Votes are counted where blocks of queries and of classes
-meet, and only pairs with enough of them leave, so votes are never shuffled.
-
-Edge cases: null, empty and broken images have no corners and match nothing; null ids are in no class. Rows
-repeated with one id are one image if their bytes are equal. Ties of the response are broken by place. Empty tables give
-empty results. Only the two named columns are read.
-
-The tables hold no images, so the query draws one from each embedding: its 64 numbers as an 8 by 8 mosaic.
+Images are binary columns in PGM (``P5``, 8 bits). Each is smoothed and brought to several scales, ``SCALES``. Corners are local
+maxima of the Harris response of a level; each gets the direction of its patch's intensity centroid and 256 binary tests turned
+by it, so brightness, contrast, noise, cropping, turning and resizing leave most descriptors nearly as they are.
+
+Hamming tables: a descriptor is ``TABLES`` words of 32 bits; descriptors that agree in a word are compared, and match within
+a Hamming distance of ``DISTANCE``. All pairs within a distance of ``TABLES - 1`` are found for certain, those beyond with
+a chance that falls with the distance. Levels aren't told apart, so an image meets its resized copy.
+
+Consensus: each match proposes a turn, a scale and a shift, by its directions, levels and places; a match agrees if its own
+direction and level do and its place is where the proposal puts it, within a tolerance that grows with the distance from the proposing
+corner. An image is a copy if ``INLIERS`` distinct corners of either image agree with one proposal.
+
+Images of equal bytes are one class, named by its smallest id; only classes are described, once, where they lie. The query
+set is dealt into blocks of about ``BLOCK`` corners, and the tables of one block at a time are sent to all tasks, which return
+the copies found. So no corner is shuffled, a word that many images share is no hot key, and what a task holds is bounded by
+the block and by ``VOTES``. No word, match or image is left out; only the number of corners per level is limited, strongest first.
+
+Edge cases: null, empty and broken images, and such as are too small for a patch, have no corners and match nothing; null ids are
+in no class. Rows repeated with one id are one image if their bytes are equal. Ties of the response are broken by place.
+Empty tables give empty results. Only the two named columns are read.
+
+The tables hold no images, so the query draws one from each embedding: the sum of 64 fixed smooth textures, weighted by its numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._hashing import mix
-from ._shared import durable, table
-
-FEATURES = 24
-SCALES = (1, 2)
-RADIUS, TESTS = 6, 256
-WORDS = TESTS // 64
-#: Most bits by which matching descriptors differ; fewer than there are words.
-DISTANCE = WORDS - 1
-CELL = 3
-INLIERS = 4
-#: Corners of a block of classes or queries, and votes that are counted at once (more only for a single query).
-BLOCK, VOTES = 1 << 14, 1 << 20
-#: A vote packed into 64 bits: the query's number, the class's, the shifts in cells (images up to 49,000 pixels) and the corner's.
-_QUERY_BITS, _CLASS_BITS, _SHIFT_BITS, _CORNER_BITS = 12, 16, 15, 6
-#: A word of more distinct descriptors than this is hot: a key only together with a block of the other bits.
-HOT = 64
+from ._shared import durable, join_spread, table
+
+#: Levels: the factor by which an image is made smaller, and the most corners of each.
+SCALES, FEATURES = (1.0, 2**0.5, 2.0, 2**1.5), (32, 28, 24, 20)
+RADIUS, TESTS = 8, 256
+TABLES = TESTS // 32
+#: Most bits by which matching descriptors differ.
+DISTANCE = 48
+INLIERS = 5
+#: By how much an agreeing match's direction, level and place may differ: radians, a factor, pixels of the level, and a share
+#: of the distance from the proposing corner.
+TURN, RATIO, SHIFT, SLACK = 0.45, 1.5, 3.0, 0.12
+#: Query corners whose tables are sent to the tasks at once, class corners looked up at once, and matches held at once.
+BLOCK, PACK, VOTES = 1 << 17, 1 << 14, 1 << 20
 DIRECTIONS = 32
-_ODD = np.uint64(0x2545F4914F6CDD1D)
 
 _rng = np.random.default_rng(20)
-_POINTS = _rng.normal(0, RADIUS / 2.5, (TESTS, 2, 2)).clip(-RADIUS, RADIUS)
-_angles = np.arange(DIRECTIONS) * 2 * np.pi / DIRECTIONS
-_TURNS = np.stack([[np.cos(_angles), -np.sin(_angles)], [np.sin(_angles), np.cos(_angles)]]).transpose(2, 0, 1)
+_radius = RADIUS * np.sqrt(_rng.random((TESTS, 2)))
+_angle = _rng.random((TESTS, 2)) * 2 * np.pi
+_turn = (np.arange(DIRECTIONS) * 2 * np.pi / DIRECTIONS)[:, None, None]
 #: Per direction and test the two places, as (dy, dx).
-_PLACES = np.rint(np.einsum("dij,tkj->dtki", _TURNS, _POINTS)).astype(np.int64)
-_MARGIN = int(np.abs(_PLACES).max())
+_PLACES = np.rint(np.stack((_radius * np.sin(_angle + _turn), _radius * np.cos(_angle + _turn)), -1)).astype(np.int64)
+_MARGIN = RADIUS + 1
 _GRID = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
+_DISC = np.hypot(*_GRID) <= RADIUS
 
 
 def to_pgm(pixels: np.ndarray) -> bytes:
     h, w = pixels.shape
-    return b"P5\n%d %d\n255\n" % (w, h) + pixels.astype(np.uint8).tobytes()
+    return b"P5\n%d %d\n255\n" % (w, h) + pixels.clip(0, 255).astype(np.uint8).tobytes()
 
 
 def from_pgm(data: bytes | None) -> np.ndarray | None:
@@ -72,260 +76,263 @@ def from_pgm(data: bytes | None) -> np.ndarray | None:
         return None
 
 
-def _box(x: np.ndarray) -> np.ndarray:
-    """Sums over 3 by 3."""
-    p = np.pad(x, 1)
-    rows = p[:-2] + p[1:-1] + p[2:]
-    return rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]
+def _along(x: np.ndarray, axis: int, weights: tuple[float, ...]) -> np.ndarray:
+    """A symmetric filter along an axis, edges repeated."""
+    reach = len(weights) // 2
+    pad = [(0, 0)] * x.ndim
+    pad[axis] = (reach, reach)
+    p = np.pad(x, pad, mode="edge")
+    n = x.shape[axis]
+    return sum(w * p.take(range(k, k + n), axis) for k, w in enumerate(weights))
+
+
+def smooth(x: np.ndarray) -> np.ndarray:
+    weights = (1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16)
+    return _along(_along(x, -1, weights), -2, weights)
+
 
+def shrink(x: np.ndarray, scale: float) -> np.ndarray:
+    """Images (the last two axes) made smaller: pixel ``k`` is what lies at ``scale * k``, between neighbours in proportion."""
+    for axis in (-1, -2):
+        at = np.arange(int((x.shape[axis] - 1) / scale) + 1) * scale
+        low = np.minimum(at.astype(np.int64), x.shape[axis] - 1)
+        part = (at - low).astype(np.float32).reshape((-1,) + (1,) * (-1 - axis))
+        x = x.take(low, axis) * (1 - part) + x.take(np.minimum(low + 1, x.shape[axis] - 1), axis) * part
+    return x
 
-def corners(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (y, x) of the strongest corners that leave room for a patch, and their responses."""
-    dy, dx = np.gradient(image)
-    a, b, c = _box(dx * dx), _box(dy * dy), _box(dx * dy)
+
+def _corners(level: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Image, y and x of the strongest corners of a stack of levels that leave room for a patch."""
+    dy, dx = np.gradient(level, axis=(1, 2))
+    a, b, c = (smooth(v) for v in (dx * dx, dy * dy, dx * dy))
     response = a * b - c * c - 0.05 * (a + b) ** 2
-    p = np.pad(response, 1, constant_values=-np.inf)
-    h, w = image.shape
-    around = np.max([p[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
-    peak = (response == around) & (response > 1e-6 * max(response.max(), 1.0))
-    peak[:_MARGIN] = peak[h - _MARGIN :] = False
-    peak[:, :_MARGIN] = peak[:, w - _MARGIN :] = False
-    y, x = np.nonzero(peak)
-    return np.stack((y, x), 1), response[y, x]
-
-
-def describe(data: bytes | None) -> list[tuple[int, int, int, list[int]]]:
-    """Per corner: scale, y, x in pixels of the whole image, and the descriptor's words."""
-    image = from_pgm(data)
+    inner = response[:, _MARGIN:-_MARGIN, _MARGIN:-_MARGIN]
+    h, w = inner.shape[1:]
+    around = [response[:, _MARGIN + i : _MARGIN + i + h, _MARGIN + j : _MARGIN + j + w] for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    peak = (inner >= np.max(around, axis=0)) & (inner > 1e-4 * np.maximum(response.max((1, 2), keepdims=True), 1.0))
+    image, y, x = np.nonzero(peak)
+    order = np.lexsort((x, y, -inner[image, y, x], image))
+    image, y, x = image[order], y[order], x[order]
+    kept = np.arange(len(image)) - np.searchsorted(image, image) < most
+    return image[kept], y[kept] + _MARGIN, x[kept] + _MARGIN
+
+
+def _described(images: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Corners of a stack of images of one size: image, scale, y, x (in pixels of the whole image), direction, words."""
     out = []
-    for scale in SCALES if image is not None else ():
-        h, w = image.shape[0] // scale * scale, image.shape[1] // scale * scale
-        if min(h, w) // scale <= 2 * _MARGIN + 2:
-            continue
-        level = image[:h, :w].astype(np.float64).reshape(h // scale, scale, w // scale, scale).mean((1, 3))
-        places, strength = corners(level)
-        order = np.lexsort((places[:, 1], places[:, 0], -strength))[:FEATURES]
-        if not len(order):
-            continue
-        y, x = places[order].T
-        patch = level[y[:, None, None] + _GRID[0], x[:, None, None] + _GRID[1]]
+    base = smooth(images.astype(np.float32))
+    for scale, most in zip(SCALES, FEATURES, strict=True):
+        level = base if scale == 1 else shrink(base if scale < 2 else smooth(base), scale)
+        if min(level.shape[1:]) <= 2 * _MARGIN + 2:
+            break
+        image, y, x = _corners(level, most)
+        level = smooth(level)
+        patch = level[image[:, None, None], y[:, None, None] + _GRID[0], x[:, None, None] + _GRID[1]] * _DISC
         angle = np.arctan2((patch * _GRID[0]).sum((1, 2)), (patch * _GRID[1]).sum((1, 2)))
-        turn = np.rint(angle / (2 * np.pi) * DIRECTIONS).astype(np.int64) % DIRECTIONS
-        at = _PLACES[turn]
-        values = level[y[:, None, None] + at[..., 0], x[:, None, None] + at[..., 1]]
-        bits = np.packbits(values[..., 0] < values[..., 1], axis=1).view(np.int64)
-        out += [(scale, int(b * scale), int(a * scale), words.tolist()) for b, a, words in zip(y, x, bits, strict=True)]
-    return out
+        at = _PLACES[np.rint(angle / (2 * np.pi) * DIRECTIONS).astype(np.int64) % DIRECTIONS]
+        values = level[image[:, None, None], y[:, None, None] + at[..., 0], x[:, None, None] + at[..., 1]]
+        words = np.packbits(values[..., 0] < values[..., 1], axis=1).view(np.uint32)
+        out.append((image, np.full(len(image), scale), y * scale, x * scale, angle, words))
+    if not out:
+        return tuple(np.zeros(0) for _ in range(5)) + (np.zeros((0, TABLES), np.uint32),)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def describe(data: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    """Corners of images: number of the image, then as ``_described``; images of one size are described together."""
+    sizes: dict[tuple[int, int], list[int]] = {}
+    pixels = [from_pgm(x) for x in data]
+    for k, p in enumerate(pixels):
+        if p is not None and min(p.shape) > 2 * _MARGIN + 2:
+            sizes.setdefault(p.shape, []).append(k)
+    out = []
+    for shape, numbers in sizes.items():
+        step = max(1, (1 << 20) // (shape[0] * shape[1]))  # pixels that are held at once
+        for at in range(0, len(numbers), step):
+            part = np.array(numbers[at : at + step])
+            image, *rest = _described(np.stack([pixels[k] for k in part]))
+            out.append((part[image.astype(np.int64)], *rest))
+    if not out:
+        return tuple(np.zeros(0) for _ in range(5)) + (np.zeros((0, TABLES), np.uint32),)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-_BLOCK = "id array<bigint>, scale array<int>, y array<int>, x array<int>, words array<bigint>"
+#: A block of corners: ids, places as (scale, y, x, direction), words; arrays in one row.
+_PACKED = "n long, ids binary, places binary, words binary"
 
 
 def packed(images: DataFrame) -> DataFrame:
-    """Corners of ``images`` (``id image``), one row per block of whole images: arrays ``id scale y x words``, where
-    ``words`` has ``WORDS`` elements for each of the others."""
-    kinds, names = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), ["id", "scale", "y", "x", "words"]
+    """Corners of ``images`` (``id image``), one row per block of about ``PACK`` corners of whole images."""
 
-    def block(found):
-        columns = [pa.array(np.concatenate(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names)
+    def block(parts):
+        ids, places, words = (np.concatenate(c) for c in zip(*parts, strict=True))
+        values = [[len(ids)], [ids.astype(np.int64).tobytes()], [places.astype(np.float32).tobytes()], [words.astype(np.uint32).tobytes()]]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["n", "ids", "places", "words"])
 
     def rows(batches):
-        found, held = [], 0
+        parts, held = [], 0
         for batch in batches:
-            for k in range(len(batch)):
-                corner = describe(batch.column(1)[k].as_py())
-                if not corner:
-                    continue
-                *places, words = zip(*corner, strict=True)
-                id_ = np.full(len(corner), batch.column(0)[k].as_py(), np.int64)
-                found.append((id_, *(np.array(c, np.int32) for c in places), np.array(words, np.int64).ravel()))
-                held += len(corner)
-                if held >= BLOCK:
-                    yield block(found)
-                    found, held = [], 0
-        if found:
-            yield block(found)
-
-    return images.filter("id is not null").select("id", "image").mapInArrow(rows, _BLOCK)
-
-
-def corner_rows(blocks: DataFrame) -> DataFrame:
-    """``id scale y x words``: one row per corner of ``packed`` blocks."""
-    words = f"transform(id, (v, k) -> slice(words, {WORDS} * k + 1, {WORDS}))"
-    return blocks.select("id", "scale", "y", "x", F.expr(words).alias("words")).selectExpr("inline(arrays_zip(id, scale, y, x, words))")
-
-
-def descriptors(images: DataFrame) -> DataFrame:
-    """``id scale y x words``: one row per corner of ``images`` (``id image``)."""
-    return corner_rows(packed(images))
-
-
-def _keys(descs: DataFrame) -> DataFrame:
-    return descs.select("*", F.posexplode("words").alias("place", "word"))
-
-
-def _blocks(keyed: DataFrame) -> DataFrame:
-    """Second keys of ``_keys`` rows: the bits outside the word, in ``DISTANCE + 1`` blocks of 48."""
-    others = F.filter(F.col("words"), lambda w, i: i != F.col("place"))
-    rest = F.concat_ws("", F.transform(others, lambda w: F.lpad(F.hex(w), 16, "0")))
-    size = (WORDS - 1) * 16 // (DISTANCE + 1)
-    blocks = F.array(*(F.substring(rest, 1 + k * size, size) for k in range(DISTANCE + 1)))
-    return keyed.select("*", F.posexplode(blocks).alias("block", "bits"))
-
-
-def near_descriptors(own: DataFrame, asked: DataFrame) -> DataFrame:
-    """``scale q_words words``: the pairs of distinct descriptors (``scale words``) that differ in ``DISTANCE`` bits at most.
-
-    All of them: a word is a key however many share it. Of hot words the pairs agree in a block as well.
-    """
-    at = ["scale", "place", "word"]
-    mine = durable(_keys(own.select("scale", "words").distinct()), "image-words")
-    theirs = durable(_keys(asked.select("scale", "words").distinct()), "image-asked-words")
-    hot = mine.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select(*at)
-    hot = durable(hot.join(theirs, at, "left_semi"), "image-hot")
-    differ = F.aggregate(F.zip_with("words", "q_words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-
-    def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        both = left.withColumnRenamed("words", "q_words").join(right, keys)
-        return both.filter(differ <= DISTANCE).select("scale", "q_words", "words")
-
-    plain = pairs(theirs.join(hot, at, "left_anti"), mine, at)
-    fine = [_blocks(x.join(hot, at, "left_semi")) for x in (theirs, mine)]
-    return plain.unionByName(pairs(*fine, [*at, "block", "bits"])).distinct()
-
-
-def _name(scale: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """64 bits that name a descriptor; equal ones always agree."""
-    name = scale.astype(np.uint64)
-    for k in range(WORDS):
-        name = mix(name * _ODD + words[:, k].view(np.uint64))
-    return name
-
-
-def _array(column: pa.Array, kind=np.int64) -> np.ndarray:
-    return np.array(column.to_numpy(zero_copy_only=False), kind)
-
-
-def _asked_blocks(batches):
-    """Rows ``query_id scale qy qx words``, sorted by query, as blocks of whole queries; a query's corners are numbered."""
-
-    def block(query, corner, y, x, name):
-        arrays = [pa.array([v.view(np.int64)], pa.list_(pa.int64())) for v in (query, corner, y, x, name)]
-        return pa.RecordBatch.from_arrays(arrays, ["query", "corner", "qy", "qx", "name"])
-
-    held = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        query, scale, y, x = (_array(c) for c in batch.columns[:4])
-        words = _array(batch.column(4).flatten()).reshape(-1, WORDS)
-        now = query, scale, y, x, _name(scale, words)
-        held = now if held is None else tuple(np.concatenate(v) for v in zip(held, now, strict=True))
-        cut = np.searchsorted(held[0], held[0][-1])  # the last query may go on
-        if cut >= BLOCK:
-            yield block(*_numbered(*(v[:cut] for v in held)))
-            held = tuple(v[cut:] for v in held)
-    if held is not None:
-        yield block(*_numbered(*held))
-
-
-def _numbered(query, scale, y, x, name):
-    order = np.lexsort((x, y, scale, query))
-    query, scale, y, x, name = (v[order] for v in (query, scale, y, x, name))
-    new = np.concatenate(([True], (query[1:] != query[:-1]) | (scale[1:] != scale[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1])))
-    corner = np.cumsum(new)
-    return query, corner - corner[np.searchsorted(query, query)], y, x, name
-
-
-def _vote(batches):
-    """Pairs of a block of queries and one of classes: ``query_id id inliers`` of the copies among them."""
-    for batch in batches:
-        for k in range(len(batch)):
-            query, corner, qy, qx, asked, ids, scale, y, x = (_array(c[k].values) for c in batch.columns[:9])
-            name = _name(scale, _array(batch.column(9)[k].values).reshape(-1, WORDS))
-            order = np.argsort(name, kind="stable")
-            name, y, x = name[order], y[order], x[order]
-            ids, owner = np.unique(ids[order], return_inverse=True)
-            asked = asked.view(np.uint64)
-            begin = np.searchsorted(name, asked)
-            times = np.searchsorted(name, asked, "right") - begin
-            firsts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
-            ends = np.append(firsts[1:], len(query))
-            total = np.append(0, np.cumsum(times))
-            at = 0
-            while at < len(firsts):
-                to = int(np.searchsorted(total[ends], total[firsts[at]] + VOTES, "right"))
-                to = min(max(to, at + 1), at + (1 << _QUERY_BITS), len(firsts))
-                a, b = firsts[at], ends[to - 1]
-                row = np.repeat(np.arange(a, b), times[a:b])
-                hit = np.arange(len(row)) - np.repeat(total[a:b] - total[a], times[a:b]) + begin[row]
-                number = np.searchsorted(firsts, row, "right") - 1 - at
-                shift = [((v[hit] - w[row]) // CELL + (1 << _SHIFT_BITS - 1)) for v, w in ((y, qy), (x, qx))]
-                key = (number << _CLASS_BITS | owner[hit]) << _SHIFT_BITS | shift[0]
-                key = (key << _SHIFT_BITS | shift[1]) << _CORNER_BITS | corner[row]
-                spots, n = np.unique(np.unique(key.view(np.uint64)) >> np.uint64(_CORNER_BITS), return_counts=True)
-                spots, n = spots[n >= INLIERS] >> np.uint64(2 * _SHIFT_BITS), n[n >= INLIERS]
-                first = np.flatnonzero(np.concatenate(([True], spots[1:] != spots[:-1]))) if len(spots) else np.zeros(0, np.int64)
-                most = np.maximum.reduceat(n, first) if len(spots) else n
-                pair = spots[first].astype(np.int64)
-                found = query[firsts[at + (pair >> _CLASS_BITS)]], ids[pair & (1 << _CLASS_BITS) - 1], most.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["query_id", "id", "inliers"])
-                at = to
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                ids = np.array(part.column(0).to_numpy(), np.int64)
+                image, scale, y, x, angle, words = describe(part.column(1).to_pylist())
+                if len(image):
+                    parts.append((ids[image.astype(np.int64)], np.stack((scale, y, x, angle), 1), words))
+                    held += len(image)
+                if held >= PACK:
+                    yield block(parts)
+                    parts, held = [], 0
+        if parts:
+            yield block(parts)
+
+    return images.filter("id is not null").select("id", "image").mapInArrow(rows, _PACKED)
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["places"], np.float32).reshape(-1, 4), np.frombuffer(row["words"], np.uint32).reshape(-1, TABLES)
+
+
+class QueryTables:
+    """The Hamming tables of a block of query corners."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.ids, self.places, self.words = (np.concatenate(c) for c in zip(*parts, strict=True))
+        self.order = [np.argsort(self.words[:, t], kind="stable").astype(np.uint32) for t in range(TABLES)]
+
+    def matches(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places among ``words`` and among the query's corners that match, each once; all of one place together."""
+        begin, times = [], []
+        for t in range(TABLES):
+            ordered = self.words[self.order[t], t]
+            begin.append(np.searchsorted(ordered, words[:, t]))
+            times.append(np.searchsorted(ordered, words[:, t], "right") - begin[-1])
+        total = np.cumsum(np.sum(times, 0))
+        at = 0
+        while at < len(words):
+            done = total[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(total, done + VOTES, "right")))
+            found = []
+            for t in range(TABLES):
+                n = times[t][at:to]
+                row = np.repeat(np.arange(at, to), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + begin[t][row]
+                corner = self.order[t][place].astype(np.int64)
+                apart = np.bitwise_count(words[row] ^ self.words[corner]).sum(1, dtype=np.int64)
+                found.append((row * len(self.ids) + corner)[apart <= DISTANCE])
+            pair = np.unique(np.concatenate(found))
+            yield pair // len(self.ids), pair % len(self.ids)
+            at = to
+
+
+def agreeing(own: np.ndarray, asked: np.ndarray) -> int:
+    """The most distinct corners that agree with one proposal; matches as rows ``scale y x direction`` on either side."""
+    place = [v[:, 2] + 1j * v[:, 1] for v in (own, asked)]
+    ratio, turn = own[:, 0] / asked[:, 0], own[:, 3] - asked[:, 3]
+    best = 0
+    for at in range(0, len(own), 256):  # proposals
+        p = slice(at, at + 256)
+        moved = (ratio * np.exp(1j * turn))[p, None] * (place[1][None] - place[1][p, None])
+        seen = place[0][None] - place[0][p, None]
+        near = np.abs(seen - moved) <= SHIFT * np.maximum(own[:, 0][None], own[:, 0][p, None]) + SLACK * np.abs(moved)
+        near &= np.abs(np.angle(np.exp(1j * (turn[None] - turn[p, None])))) <= TURN
+        change = ratio[None] / ratio[p, None]
+        near &= (change <= RATIO) & (change >= 1 / RATIO)
+        for row in near[near.sum(1) > best]:
+            best = max(best, min(len(np.unique(place[0][row])), len(np.unique(place[1][row]))))
+    return best
+
+
+def copies_in(tables: QueryTables, ids: np.ndarray, places: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``query_id id inliers`` of the copies between a block of queries and one of classes; rows of an id are neighbours."""
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True) if len(words) > VOTES else [(0, len(ids))]:
+        parts = list(tables.matches(words[a:b]))
+        own, asked = (np.concatenate(c) for c in zip(*parts, strict=True))
+        own = own + a
+        order = np.lexsort((ids[own], tables.ids[asked]))
+        own, asked = own[order], asked[order]
+        key = np.stack((tables.ids[asked], ids[own]))
+        begin = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0)))) if len(own) else np.zeros(0, np.int64)
+        for s, e in zip(begin, np.append(begin[1:], len(own)), strict=True):
+            if e - s >= INLIERS:
+                n = agreeing(places[own[s:e]], tables.places[asked[s:e]])
+                if n >= INLIERS:
+                    yield int(key[0, s]), int(key[1, s]), n
 
 
 def copies(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id id inliers``: classes (``id image``) of which a query (``id image``) is a cropped or edited copy."""
-    blocks = durable(packed(classes), "image-corners")
-    asked = durable(descriptors(queries).withColumnsRenamed({"id": "query_id", "y": "qy", "x": "qx"}), "image-asked")
-    near = near_descriptors(corner_rows(blocks), asked)
-    matched = asked.withColumnRenamed("words", "q_words").join(near, ["scale", "q_words"]).select("query_id", "scale", "qy", "qx", "words")
-    asked_blocks = matched.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(
-        _asked_blocks, ", ".join(f"{c} array<bigint>" for c in ("query", "corner", "qy", "qx", "name"))
-    )
-    both = durable(asked_blocks, "image-asked-blocks").crossJoin(blocks)
-    return both.mapInArrow(_vote, "query_id long, id long, inliers long")
+    spark = classes.sparkSession
+    corners = durable(packed(classes), "image-corners")
+    asked = durable(packed(queries).withColumn("part", F.monotonically_increasing_id()), "image-asked")
+    sizes = {r["part"]: r["n"] for r in asked.select("part", "n").collect()}  # a number per PACK corners of the queries
+    blocks, held = [[]], 0
+    for part in sorted(sizes):
+        if held and held + sizes[part] > BLOCK:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(part)
+        held += sizes[part]
+    found = None
+    for parts in blocks:
+        rows = asked.filter(F.col("part").isin(parts)).drop("part").toArrow().to_pylist()  # BLOCK corners, about
+        tables = spark.sparkContext.broadcast([_unpacked(r) for r in rows])
+
+        def search(batches, tables=tables):
+            block = QueryTables(tables.value) if tables.value else None
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if block:
+                        out = list(copies_in(block, *_unpacked(row)))
+                        columns = zip(*out, strict=True) if out else ([], [], [])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "inliers"])
+
+        now = durable(corners.mapInArrow(search, "query_id long, id long, inliers long"), "image-copies")
+        tables.unpersist()
+        found = now if found is None else found.unionByName(now)
+    return found
 
 
 def class_rows(images: DataFrame) -> DataFrame:
     """``id class_id`` of all ``images`` (``id image``): the smallest id with the same bytes."""
-    named = images.filter("id is not null").select("id", F.sha2("image", 256).alias("digest"))
-    classes = named.groupBy("digest").agg(F.min("id").alias("class_id"))
-    return named.join(classes, named["digest"].eqNullSafe(classes["digest"])).select("id", "class_id")
+    digest = F.coalesce(F.sha2("image", 256), F.lit(""))  # null images are one class
+    named = durable(images.filter("id is not null").select("id", digest.alias("digest")), "image-digests")
+    classes = named.groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    return join_spread(named, durable(classes, "image-classes"), ["digest"], "n", named.count()).select("id", "class_id")
 
 
-def draw(embeddings: DataFrame, zoom: int = 8) -> DataFrame:
-    """``id image``: a mosaic of each vector's numbers, ``zoom`` pixels each."""
+#: Pixels of a drawn image's side.
+SIDE = 96
 
-    def rows(batches):
-        for batch in batches:
-            out = []
-            for vector in batch.column(1).to_pylist():
-                v = np.array([np.nan if x is None else x for x in vector or ()], np.float64)
-                side = int(len(v) ** 0.5)
-                if not side or not np.isfinite(v).all():
-                    out.append(None)
-                    continue
-                v = v[: side * side].reshape(side, side)
-                spread = v.max() - v.min() or 1.0
-                out.append(to_pgm(np.kron(np.rint((v - v.min()) / spread * 200 + 20), np.ones((zoom, zoom)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())], ["id", "image"])
 
-    return embeddings.select("vec_id", "embedding").mapInArrow(rows, "id long, image binary")
+def _textures() -> np.ndarray:
+    """64 fixed textures, as rows: noise whose amplitude falls with the frequency, as in natural images."""
+    noise = np.random.default_rng(21).normal(size=(64, SIDE, SIDE))
+    frequency = np.hypot(np.fft.fftfreq(SIDE)[:, None], np.fft.fftfreq(SIDE)[None])
+    weight = np.where(frequency > 0, 1 / np.maximum(frequency, 1 / SIDE), 0)
+    return np.fft.ifft2(np.fft.fft2(noise) * weight).real.astype(np.float32).reshape(64, -1)
 
 
-def edit(images: DataFrame) -> DataFrame:
-    """Each image cropped at all sides, by up to 4 pixels that depend on its id, and darkened."""
+def draw(embeddings: DataFrame) -> DataFrame:
+    """``id image``: the sum of fixed textures, weighted by a vector's first 64 numbers; null for other vectors."""
 
     def rows(batches):
+        textures = _textures()
         for batch in batches:
-            out = []
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                image = from_pgm(data)
-                out.append(None if image is None else to_pgm(image[2 : image.shape[0] - 2, 2 + 2 * (i % 2) :] * 0.8))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "image"])
+            out: list[bytes | None] = []
+            for at in range(0, len(batch), 256):
+                vectors = [[np.nan if x is None else x for x in v or ()] for v in batch.column(1).slice(at, 256).to_pylist()]
+                good = [k for k, v in enumerate(vectors) if len(v) >= 64 and np.isfinite(v[:64]).all()]
+                pixels = np.array([vectors[k][:64] for k in good], np.float32).reshape(-1, 64) @ textures
+                low, high = (f(1, keepdims=True) for f in (pixels.min, pixels.max)) if len(good) else (0, 1)
+                pixels = np.rint((pixels - low) / np.maximum(high - low, 1e-9) * 200 + 20).reshape(-1, SIDE, SIDE)
+                drawn = dict(zip(good, map(to_pgm, pixels), strict=True))
+                out += [drawn.get(k) for k in range(len(vectors))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())], ["id", "image"])
 
-    return images.mapInArrow(rows, "id long, image binary")
+    return embeddings.select("vec_id", "embedding").mapInArrow(rows, "id long, image binary")
 
 
 #: Rows whose id this divides are the queries.
@@ -335,11 +342,10 @@ QUERY_STEP = 20
 def query(spark, sf_dir: str) -> DataFrame:
     """``vec_id class_id match_class_id inliers``: a row per vector with its class, and for the classes of the rows asked
     the row of their smallest id once per other class that holds a copy. The rows of a class match as it does."""
-    images = durable(draw(table(spark, sf_dir, "embeddings")), "images")
-    members = durable(class_rows(images), "image-classes")
-    reps = members.select(F.col("class_id").alias("id")).distinct()
-    classes = images.join(reps, "id", "left_semi")
+    images = draw(table(spark, sf_dir, "embeddings"))
+    members = durable(class_rows(images), "image-members")
+    classes = images.join(members.filter("id = class_id").select("id").distinct(), "id", "left_semi")
     asked = members.filter(F.col("id") % QUERY_STEP == 0).select(F.col("class_id").alias("id")).distinct()
-    found = copies(classes, classes.join(asked, "id", "left_semi")).filter("query_id <> id")
+    found = copies(classes, images.join(asked, "id", "left_semi")).filter("query_id <> id")
     pairs = found.select(F.col("query_id").alias("vec_id"), F.col("id").alias("match_class_id"), "inliers")
     return members.withColumnRenamed("id", "vec_id").join(pairs, "vec_id", "left").select("vec_id", "class_id", "match_class_id", "inliers")
