@@ -40,7 +40,7 @@ SCALES, FEATURES = (1.0, 2**0.5, 2.0, 2**1.5), (32, 28, 24, 20)
 RADIUS, TESTS = 8, 256
 TABLES = TESTS // 32
 #: Most bits by which matching descriptors differ.
-DISTANCE = 48
+DISTANCE = 28
 INLIERS = 5
 #: By how much an agreeing match's direction, level and place may differ: radians, a factor, pixels of the level, and a share
 #: of the distance from the proposing corner.
@@ -239,8 +239,11 @@ def agreeing(own: np.ndarray, asked: np.ndarray) -> int:
         near &= np.abs(np.angle(np.exp(1j * (turn[None] - turn[p, None])))) <= TURN
         change = ratio[None] / ratio[p, None]
         near &= (change <= RATIO) & (change >= 1 / RATIO)
-        for row in near[near.sum(1) > best]:
-            best = max(best, min(len(np.unique(place[0][row])), len(np.unique(place[1][row]))))
+        counts = near.sum(1)
+        for k in np.argsort(-counts, kind="stable").tolist():
+            if counts[k] <= best:
+                break
+            best = max(best, min(len(np.unique(place[side][near[k]])) for side in (0, 1)))
     return best
 
 
