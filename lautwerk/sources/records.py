@@ -1,37 +1,48 @@
 """Source files as records ``name count source origin variants``, and their union in order.
 
-Files are read as whole texts, since their dialect is fixed here: no quoted delimiters, one quote taken off each
-end of a cell.
+The dialect of delimited files is fixed here: no quoted delimiters, one quote taken off each end of a cell. ``row`` orders the
+records of a source; it is any type that orders.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import trim
+from ..functions.text import MARKED, PLAIN, trim
 
 RECORD = "name string, count double, source string, origin string, variants array<string>"
 
 
 def delimited(spark: SparkSession, path: str) -> DataFrame:
-    """``path row cells`` with ``cells`` a map from lower-case header to value; blank lines are dropped."""
+    """``path row cells`` with ``cells`` an array by the file's ``headers``, lower case; blank lines are dropped.
+
+    Files are read by lines, so large ones are split over tasks. ``row`` orders the lines of one read: files by name, then
+    lines by place. Each file's first line that isn't blank is its header.
+    """
+    mark = "^\ufeff"
     lines = (
-        spark.read.text(path, wholetext=True)
-        .select(F.input_file_name().alias("path"), F.regexp_replace("value", r"^\uFEFF", "").alias("value"))
-        .select("path", F.filter(F.split("value", r"\r?\n"), lambda x: trim(x) != "").alias("lines"))
-        .filter(F.size("lines") > 0)
+        spark.read.text(path, lineSep="\n")
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\r$", "").alias("line"))
+        .filter(trim(F.regexp_replace("line", mark, "")) != "")
     )
-    head = F.get("lines", 0)
+    # lines of a block are numbered in order, and a file's blocks start ever later
+    first = lines.groupBy("path").agg(F.min_by(F.struct("block", "n", "line"), F.struct("block", "n")).alias("head"))
+    head = F.regexp_replace("head.line", mark, "")
     semicolons = F.contains(head, F.lit(";")) & ~F.contains(head, F.lit(","))
-    delimiter = F.when(semicolons, ";").otherwise(",")
+    by = F.when(semicolons, ";").otherwise(",")
     cells = lambda line, by: F.transform(F.split(line, by), lambda c: F.regexp_replace(trim(c), '^"|"$', ""))
-    rows = lines.withColumn("by", delimiter).withColumn("headers", F.transform(cells(head, F.col("by")), F.lower))
-    return rows.select(
-        "path", "headers", "by", F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("row", "line")
-    ).select("path", "row", "headers", cells(F.col("line"), F.col("by")).alias("cells"))
+    files = first.select("path", F.struct("head.block", "head.n").alias("at"), by.alias("by"), F.transform(cells(head, by), F.lower).alias("headers"))
+    return (
+        lines.join(files, "path")
+        .filter(F.struct("block", "n") != F.col("at"))
+        .select("path", F.struct("path", "block", "n").alias("row"), "headers", cells(F.col("line"), F.col("by")).alias("cells"))
+    )
 
 
 def cell(*names: str) -> Column:
@@ -91,17 +102,19 @@ def json_records(spark: SparkSession, path: str, source: str) -> DataFrame:
     mapped = (
         raw.filter(F.ltrim("value").startswith("{"))
         .select(F.posexplode(F.from_json("value", "map<string,string>")).alias("row", "name", "v"))
-        .select("row", "name", F.coalesce(_number(F.col("v")), _number(F.coalesce(inner["anzahl"], inner["count"]))).alias("count"))
+        # a bare number or a row; text in quotes is neither, though from_json takes the quotes off
+        .select("row", "name", F.when(F.col("v").startswith("{"), _number(F.coalesce(inner["anzahl"], inner["count"]))).otherwise(_number(F.col("v"))).alias("count"))
     )
     return _summed(listed.unionByName(mapped), source)
 
 
 def newest_csv(package: str) -> Column:
-    """The URL of the CSV resource with the last name in a CKAN package description."""
-    resources = F.from_json(F.lit(package), "struct<result:struct<resources:array<struct<format:string,url:string,name:string>>>>")
-    csv = F.filter(resources["result"]["resources"], lambda r: (F.upper(r["format"]) == "CSV") & (r["url"] != ""))
-    last = F.array_max(F.transform(csv, lambda r: F.struct(F.coalesce(r["name"], F.lit("")).alias("name"), r["url"].alias("url"))))
-    return last["url"]
+    """The URL of the CSV resource with the last name, in German order, in a CKAN package description."""
+    shape = "struct<result:struct<resources:array<struct<format:string,url:string,name:string>>>>"
+    resources = F.from_json(F.lit(package), shape)["result"]["resources"]
+    csv = F.filter(resources, lambda r: (F.upper(r["format"]) == "CSV") & (r["url"] != ""))
+    named = F.transform(csv, lambda r: F.struct(F.collate(F.coalesce(r["name"], F.lit("")), "de").alias("name"), r["url"].alias("url")))
+    return F.array_max(named)["url"]
 
 
 def sparql_records(results: DataFrame, source: str = "wikidata") -> DataFrame:
@@ -115,28 +128,45 @@ def sparql_records(results: DataFrame, source: str = "wikidata") -> DataFrame:
     )
 
 
-def with_ascii_variants(records: DataFrame) -> DataFrame:
-    """Adds the spellings with written-out umlauts and without marks."""
-    from ..functions.text import MARKED, PLAIN
+#: Umlauts as they are written without them.
+WRITTEN = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss"))
 
+
+def with_ascii_variants(records: DataFrame) -> DataFrame:
+    """Adds the spelling with umlauts written out and then without marks, where it differs from the name."""
     written = F.col("name")
-    for letter, out in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss")):
+    for letter, out in WRITTEN:
         written = F.replace(written, F.lit(letter), F.lit(out))
-    umlauts = "äöüÄÖÜ"
-    bare = F.regexp_replace(F.translate("name", MARKED + umlauts, PLAIN + "aouAOU"), r"\p{M}+", "")
-    more = F.filter(F.array(written, bare), lambda v: v != F.col("name"))
+    bare = F.regexp_replace(F.translate(written, MARKED, PLAIN), r"\p{M}+", "")
+    more = F.filter(F.array(bare), lambda v: v != F.col("name"))
     return records.withColumn("variants", F.array_union(F.coalesce("variants", F.array().cast("array<string>")), more))
 
 
 def union(kind: str, *sources: DataFrame) -> DataFrame:
-    """Sources one after the other, as records with ``kind`` and ``seq``. ``row`` orders each source, if it has one."""
+    """Sources one after the other, as records with ``kind`` and ``seq``, a struct of the source's place and the row's as text.
+    ``row`` orders each source, if it has one."""
     parts = []
     for k, df in enumerate(sources):
-        row = F.col("row").cast("long") if "row" in df.columns else F.monotonically_increasing_id()
-        parts.append(df.select(F.lit(k).alias("part"), row.alias("at"), "name", "count", "source", "origin", "variants"))
-    whole = reduce(DataFrame.unionByName, parts)
-    # order within sources is what seq is for, and not its size: part and row in one number
-    return whole.select(F.lit(kind).alias("kind"), (F.col("part").cast("long") * (1 << 48) + F.col("at")).alias("seq"), "name", "count", "source", "origin", "variants")
+        row = F.col("row") if "row" in df.columns else F.monotonically_increasing_id()
+        if "row" in df.columns and df.schema["row"].dataType.typeName() == "struct":
+            at = F.struct(F.col("row.path").alias("path"), F.col("row.block").alias("block"), F.col("row.n").alias("n"))
+        else:
+            at = F.struct(F.lit("").alias("path"), F.lit(0).cast("long").alias("block"), row.cast("long").alias("n"))
+        parts.append(df.select(F.struct(F.lit(k).alias("source"), at.alias("at")).alias("seq"), "name", "count", "source", "origin", "variants"))
+    return reduce(DataFrame.unionByName, parts).select(F.lit(kind).alias("kind"), "seq", "name", "count", "source", "origin", "variants")
+
+
+def available(*readers: Callable[[], DataFrame]) -> tuple[list[DataFrame], list[str]]:
+    """The sources whose readers work, in order, and what the others said: one that fails must not stop a build."""
+    found, errors = [], []
+    for read in readers:
+        try:
+            df = read()
+            df.take(1)  # files are opened only now
+            found.append(df)
+        except (PySparkException, Py4JJavaError, ValueError, OSError) as error:
+            errors.append(f"{type(error).__name__}: {str(error).splitlines()[0]}")
+    return found, errors
 
 
 # Seeds that are merged into every lexicon; name, count, variants.
