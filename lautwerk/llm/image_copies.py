@@ -345,10 +345,12 @@ QUERY_STEP = 20
 def query(spark, sf_dir: str) -> DataFrame:
     """``vec_id class_id match_class_id inliers``: a row per vector with its class, and for the classes of the rows asked
     the row of their smallest id once per other class that holds a copy. The rows of a class match as it does."""
-    images = draw(table(spark, sf_dir, "embeddings"))
-    members = durable(class_rows(images), "image-members")
-    classes = images.join(members.filter("id = class_id").select("id").distinct(), "id", "left_semi")
-    asked = members.filter(F.col("id") % QUERY_STEP == 0).select(F.col("class_id").alias("id")).distinct()
-    found = copies(classes, images.join(asked, "id", "left_semi")).filter("query_id <> id")
+    vectors = table(spark, sf_dir, "embeddings")
+    members = durable(class_rows(draw(vectors)), "image-members")
+    # vectors are picked, then drawn: they are smaller
+    reps = members.filter("id = class_id").select(F.col("id").alias("vec_id")).distinct()
+    asked = members.filter(F.col("id") % QUERY_STEP == 0).select(F.col("class_id").alias("vec_id")).distinct()
+    classes, queries = (draw(vectors.join(ids, "vec_id", "left_semi")) for ids in (reps, asked))
+    found = copies(classes, queries).filter("query_id <> id")
     pairs = found.select(F.col("query_id").alias("vec_id"), F.col("id").alias("match_class_id"), "inliers")
     return members.withColumnRenamed("id", "vec_id").join(pairs, "vec_id", "left").select("vec_id", "class_id", "match_class_id", "inliers")
