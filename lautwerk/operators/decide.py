@@ -15,7 +15,7 @@ PULLED, ALTERNATIVES, SPELLINGS = 8, 3, 4
 NO_NAME, EMPTY_NAME = "Kein Name erkannt", "name must not be empty"
 NO_MATCH, EXACT, PHONETIC, VARIANT = "Kein treffender Name im Lexikon", "Exakter Lexikon-Treffer", "Kölner Phonetik wie ", "Schreibvariante → "
 ONE_LETTER, FUZZY = "Fuzzy: 1 Buchstabe", "Fuzzy-Ähnlichkeit zu "
-NOT_CONFIGURED = "Vornamen-Lexikon nicht konfiguriert"
+NOT_CONFIGURED, NO_GIVEN = "Vornamen-Lexikon nicht konfiguriert", "given names not configured"
 
 CANDIDATE = "struct<name:string,score:double,confident:boolean,exact:boolean,matchKind:string,spellings:array<string>>"
 

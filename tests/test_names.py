@@ -291,6 +291,26 @@ def test_variant_only_and_close_scores(spark):
     assert spark.range(1).select(_best(chain)["norm"]).first()[0] == "abcd"
 
 
+def test_jobs(spark, tmp_path):
+    from lautwerk.__main__ import main
+    from lautwerk.service import TOOLS
+
+    (tmp_path / "f.csv").write_text("name,country_code,count\nÄrmel,DE,90000\n")
+    spark.createDataFrame([(1, "Aermel", "family"), (2, "Xyz", "given")], "query_id long, name string, kind string").write.parquet(str(tmp_path / "heard"))
+    main(["build", "--family", str(tmp_path / "f.csv"), "--family", str(tmp_path / "missing.csv"), str(tmp_path / "lex")])
+    main(["hydrate", str(tmp_path / "lex"), str(tmp_path / "heard"), str(tmp_path / "out")])
+    found = {r["query_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found[1]["best"]["name"] == "Ärmel" and found[2]["needsHuman"]
+    assert set(TOOLS) == {"hydrate_name", "lexicon_stats", "search_names", "suggest_names"}
+
+
+def test_family_only(spark):
+    only = Names(spark, build(records.union("family", records.seeds(spark, "family"))))
+    r = only.hydrate("Mia", kind="given")
+    assert r["error"] == "given names not configured" and r["needsHuman"]
+    assert only.stats()["given"] == {"exists": False, "db": None, "entries": 0, "variants": 0, "probability_mass": 0.0}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
