@@ -253,11 +253,13 @@ def copies_in(tables: QueryTables, ids: np.ndarray, places: np.ndarray, words: n
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True) if len(words) > VOTES else [(0, len(ids))]:
         parts = list(tables.matches(words[a:b]))
         own, asked = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if not len(own):
+            continue
         own = own + a
         order = np.lexsort((ids[own], tables.ids[asked]))
         own, asked = own[order], asked[order]
         key = np.stack((tables.ids[asked], ids[own]))
-        begin = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0)))) if len(own) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
         for s, e in zip(begin, np.append(begin[1:], len(own)), strict=True):
             if e - s >= INLIERS:
                 n = agreeing(places[own[s:e]], tables.places[asked[s:e]])

@@ -534,6 +534,8 @@ def test_matches_by_brute_force(monkeypatch):
     word = (own[:, None] == asked[None]).any(2)
     assert found == set(zip(*map(list, np.nonzero((apart <= image_copies.DISTANCE) & word))))
     assert {(int(a), int(b)) for a, b in zip(*np.nonzero(apart < image_copies.TABLES))} <= found
+    strangers = rng.integers(0, 1 << 32, (30, image_copies.TABLES), dtype=np.uint32)
+    assert list(image_copies.copies_in(tables, np.zeros(30, np.int64), np.ones((30, 4), np.float32), strangers)) == []
 
 
 def test_common_lines_leave_the_text(spark):
