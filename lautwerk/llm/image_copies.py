@@ -26,7 +26,7 @@ The tables hold no images, so the query draws one from each embedding: the sum o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,9 @@ INLIERS = 5
 #: of the distance from the proposing corner.
 TURN, RATIO, SHIFT, SLACK = 0.45, 1.5, 3.0, 0.12
 #: Query corners whose tables are sent to the tasks at once, class corners looked up at once, and matches held at once.
-BLOCK, PACK, VOTES = 1 << 17, 1 << 14, 1 << 20
+BLOCK, PACK, VOTES = 1 << 17, 1 << 14, 1 << 18
+#: Pixels that are described together.
+PIXELS = 1 << 18
 DIRECTIONS = 32
 
 _rng = np.random.default_rng(20)
@@ -54,7 +56,7 @@ _radius = RADIUS * np.sqrt(_rng.random((TESTS, 2)))
 _angle = _rng.random((TESTS, 2)) * 2 * np.pi
 _turn = (np.arange(DIRECTIONS) * 2 * np.pi / DIRECTIONS)[:, None, None]
 #: Per direction and test the two places, as (dy, dx).
-_PLACES = np.rint(np.stack((_radius * np.sin(_angle + _turn), _radius * np.cos(_angle + _turn)), -1)).astype(np.int64)
+_PLACES = np.rint(np.stack((_radius * np.sin(_angle + _turn), _radius * np.cos(_angle + _turn)), -1)).astype(np.int32)
 _MARGIN = RADIUS + 1
 _GRID = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = np.hypot(*_GRID) <= RADIUS
@@ -125,7 +127,7 @@ def _described(images: np.ndarray) -> tuple[np.ndarray, ...]:
         level = base if scale == 1 else shrink(base if scale < 2 else smooth(base), scale)
         if min(level.shape[1:]) <= 2 * _MARGIN + 2:
             break
-        image, y, x = _corners(level, most)
+        image, y, x = (v.astype(np.int32) for v in _corners(level, most))
         level = smooth(level)
         patch = level[image[:, None, None], y[:, None, None] + _GRID[0], x[:, None, None] + _GRID[1]] * _DISC
         angle = np.arctan2((patch * _GRID[0]).sum((1, 2)), (patch * _GRID[1]).sum((1, 2)))
@@ -147,7 +149,7 @@ def describe(data: list[bytes | None]) -> tuple[np.ndarray, ...]:
             sizes.setdefault(p.shape, []).append(k)
     out = []
     for shape, numbers in sizes.items():
-        step = max(1, (1 << 20) // (shape[0] * shape[1]))  # pixels that are held at once
+        step = max(1, PIXELS // (shape[0] * shape[1]))
         for at in range(0, len(numbers), step):
             part = np.array(numbers[at : at + step])
             image, *rest = _described(np.stack([pixels[k] for k in part]))
@@ -157,12 +159,15 @@ def describe(data: list[bytes | None]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+#: What makes PGM images of a column's values.
+Read = Callable[[list], list[bytes | None]] | None
 #: A block of corners: ids, places as (scale, y, x, direction), words; arrays in one row.
 _PACKED = "n long, ids binary, places binary, words binary"
 
 
-def packed(images: DataFrame) -> DataFrame:
-    """Corners of ``images`` (``id image``), one row per block of about ``PACK`` corners of whole images."""
+def packed(images: DataFrame, read: Read = None) -> DataFrame:
+    """Corners of ``images`` (``id image``), one row per block of about ``PACK`` corners of whole images. ``read`` makes images
+    of the second column's values, if they aren't images."""
 
     def block(parts):
         ids, places, words = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -176,7 +181,8 @@ def packed(images: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
                 ids = np.array(part.column(0).to_numpy(), np.int64)
-                image, scale, y, x, angle, words = describe(part.column(1).to_pylist())
+                values = part.column(1).to_pylist()
+                image, scale, y, x, angle, words = describe(read(values) if read else values)
                 if len(image):
                     parts.append((ids[image.astype(np.int64)], np.stack((scale, y, x, angle), 1), words))
                     held += len(image)
@@ -186,7 +192,7 @@ def packed(images: DataFrame) -> DataFrame:
         if parts:
             yield block(parts)
 
-    return images.filter("id is not null").select("id", "image").mapInArrow(rows, _PACKED)
+    return images.filter(F.col(images.columns[0]).isNotNull()).select(*images.columns[:2]).mapInArrow(rows, _PACKED)
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,11 +273,12 @@ def copies_in(tables: QueryTables, ids: np.ndarray, places: np.ndarray, words: n
                     yield int(key[0, s]), int(key[1, s]), n
 
 
-def copies(classes: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id id inliers``: classes (``id image``) of which a query (``id image``) is a cropped or edited copy."""
+def copies(classes: DataFrame, queries: DataFrame, read: Read = None) -> DataFrame:
+    """``query_id id inliers``: classes (``id image``) of which a query (``id image``) is a cropped or edited copy. ``read`` as
+    in ``packed``."""
     spark = classes.sparkSession
-    corners = durable(packed(classes), "image-corners")
-    asked = durable(packed(queries).withColumn("part", F.monotonically_increasing_id()), "image-asked")
+    corners = durable(packed(classes, read), "image-corners")
+    asked = durable(packed(queries, read).withColumn("part", F.monotonically_increasing_id()), "image-asked")
     sizes = {r["part"]: r["n"] for r in asked.select("part", "n").collect()}  # a number per PACK corners of the queries
     blocks, held = [[]], 0
     for part in sorted(sizes):
@@ -320,22 +327,33 @@ def _textures() -> np.ndarray:
     return np.fft.ifft2(np.fft.fft2(noise) * weight).real.astype(np.float32).reshape(64, -1)
 
 
+def drawn(vectors: list[list[float] | None]) -> list[bytes | None]:
+    """The sums of fixed textures, weighted by vectors' first 64 numbers; None for other vectors."""
+    if not _kept:
+        _kept.append(_textures())
+    vectors = [[np.nan if x is None else x for x in v or ()] for v in vectors]
+    good = [k for k, v in enumerate(vectors) if len(v) >= 64 and np.isfinite(v[:64]).all()]
+    if not good:
+        return [None] * len(vectors)
+    pixels = np.array([vectors[k][:64] for k in good], np.float32) @ _kept[0]
+    low, high = pixels.min(1, keepdims=True), pixels.max(1, keepdims=True)
+    pixels = np.rint((pixels - low) / np.maximum(high - low, 1e-9) * 200 + 20).reshape(-1, SIDE, SIDE)
+    images = dict(zip(good, map(to_pgm, pixels), strict=True))
+    return [images.get(k) for k in range(len(vectors))]
+
+
+_kept: list[np.ndarray] = []
+
+
 def draw(embeddings: DataFrame) -> DataFrame:
-    """``id image``: the sum of fixed textures, weighted by a vector's first 64 numbers; null for other vectors."""
+    """``id image``: the images drawn from ``vec_id embedding``."""
 
     def rows(batches):
-        textures = _textures()
         for batch in batches:
-            out: list[bytes | None] = []
-            for at in range(0, len(batch), 256):
-                vectors = [[np.nan if x is None else x for x in v or ()] for v in batch.column(1).slice(at, 256).to_pylist()]
-                good = [k for k, v in enumerate(vectors) if len(v) >= 64 and np.isfinite(v[:64]).all()]
-                pixels = np.array([vectors[k][:64] for k in good], np.float32).reshape(-1, 64) @ textures
-                low, high = (f(1, keepdims=True) for f in (pixels.min, pixels.max)) if len(good) else (0, 1)
-                pixels = np.rint((pixels - low) / np.maximum(high - low, 1e-9) * 200 + 20).reshape(-1, SIDE, SIDE)
-                drawn = dict(zip(good, map(to_pgm, pixels), strict=True))
-                out += [drawn.get(k) for k in range(len(vectors))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())], ["id", "image"])
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                images = pa.array(drawn(part.column(1).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), images], ["id", "image"])
 
     return embeddings.select("vec_id", "embedding").mapInArrow(rows, "id long, image binary")
 
@@ -349,10 +367,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     the row of their smallest id once per other class that holds a copy. The rows of a class match as it does."""
     vectors = table(spark, sf_dir, "embeddings")
     members = durable(class_rows(draw(vectors)), "image-members")
-    # vectors are picked, then drawn: they are smaller
+    # vectors are picked, and drawn where they are described
     reps = members.filter("id = class_id").select(F.col("id").alias("vec_id")).distinct()
     asked = members.filter(F.col("id") % QUERY_STEP == 0).select(F.col("class_id").alias("vec_id")).distinct()
-    classes, queries = (draw(vectors.join(ids, "vec_id", "left_semi")) for ids in (reps, asked))
-    found = copies(classes, queries).filter("query_id <> id")
+    classes, queries = (vectors.join(ids, "vec_id", "left_semi").select(F.col("vec_id").cast("long").alias("id"), "embedding") for ids in (reps, asked))
+    found = copies(classes, queries, drawn).filter("query_id <> id")
     pairs = found.select(F.col("query_id").alias("vec_id"), F.col("id").alias("match_class_id"), "inliers")
     return members.withColumnRenamed("id", "vec_id").join(pairs, "vec_id", "left").select("vec_id", "class_id", "match_class_id", "inliers")
