@@ -159,7 +159,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def pairs(form):
         return lambda s, d: name_pairs(s, d, open_lexicon(s, d)).select("s", "t", F.round(form(F.col("s"), F.col("t")), 9).alias("value"))
 
-    rounded = {c: F.round(c, 9) for c in ("prob", "log_prob", "plausibility")}
+    def names_of(lex):
+        return lex.names.withColumns({c: F.round(c, 9) for c in ("prob", "log_prob", "plausibility")})
+
     return {
         **_matching(open_lexicon),
         **_matching(seed_lexicon, "seed_"),
@@ -179,9 +181,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ngram_counts": lambda s, d: ngram.train(token_lexicon(s, d)),
         "ngram_calibration": lambda s, d: _calibration(open_lexicon(s, d)),
         "seed_calibration": lambda s, d: _calibration(seed_lexicon(s)),
-        "lexicon_names": lambda s, d: open_lexicon(s, d).names.withColumns(rounded),
+        "lexicon_names": lambda s, d: names_of(open_lexicon(s, d)),
         "lexicon_variants": lambda s, d: open_lexicon(s, d).variants,
-        "seed_names": lambda s, d: seed_lexicon(s).names.withColumns(rounded),
+        "seed_names": lambda s, d: names_of(seed_lexicon(s)),
         "seed_variants": lambda s, d: seed_lexicon(s).variants,
         "list_head": lambda s, d: browse.list_names(open_lexicon(s, d), "family", 100).select("name", "norm", F.round("prob", 12).alias("prob")),
         "search_prefix": lambda s, d: browse.search(open_lexicon(s, d), "family", "Sch", 50).withColumn("names", F.array_join("names", "|")),
