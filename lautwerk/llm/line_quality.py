@@ -4,8 +4,8 @@ Lines are normalised (outer white space off, inner runs to one space, lower case
 64 bits. Per host (``source``) each line's distinct documents are counted, documents of equal text as one, so
 that copies of one text do not make its own lines look like boilerplate. A line above the host's
 limit, ``max(min_docs, max_share * distinct documents of the host)``, is removed; ``clean`` returns the texts without them. A document
-that keeps less than ``min_kept`` percent of its words is depleted and rejected. The limit is a share, so
-it acts alike at any size.
+that keeps less than ``min_kept_percent`` percent of its words is depleted and rejected. In hosts of more than
+``min_docs / max_share`` distinct texts the limit is a share, so it acts alike at any size.
 
 Base rules come first, per document: too few words, or too many words inside repeated 3-word windows.
 
@@ -30,7 +30,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 10
 MAX_SHARE = 0.01
 MIN_KEPT_PERCENT = 50
-#: Common lines up to which their table is broadcast; beyond it the join shuffles.
+#: Common lines, or hosts, up to which their table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
 #: Windows of a text up to which hash and place are packed into one long.
 PACKED_WINDOWS = 1 << 20
@@ -161,6 +161,7 @@ def common_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = M
     hosts = (
         rows.select(F.col("source").alias("host"), "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
     )
+    hosts = broadcast_if_small(durable(hosts, "hosts"), BROADCAST_ROWS)  # else a host's frequent lines meet in one task
     frequent = counts.filter(F.col("docs") > min_docs)
     above = frequent.join(hosts, F.col("source").eqNullSafe(F.col("host"))).filter(
         F.col("docs") > F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("all_docs"))
