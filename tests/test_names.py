@@ -324,3 +324,32 @@ def test_queries_are_listed_without_a_session():
 
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
+def test_sql_functions(spark):
+    from lautwerk import sql
+
+    sql.register(spark, build(records.seed_records(spark)))
+    odd = ["von der  Müller-Krüger", "Große", "Łukasz", "", " ", "it's \\ \"x\"", "\u00a0Çelik\u2003", "zu der", "x" * 5000, None]
+    rows = spark.createDataFrame([(n,) for n in [u[0] for u in UNITS] + odd], "heard string")
+    rows.createOrReplaceTempView("heard_names")
+    for name, _, form in sql.FORMS:
+        by_sql = spark.sql(f"SELECT heard, {name}(heard) AS value FROM heard_names").collect()
+        assert by_sql == rows.select("heard", form(F.col("heard")).alias("value")).collect(), name
+    found = spark.sql("SELECT name_edit('schmit', 'schmidt'), name_jaro('muller', 'mueller'), name_similarity('claus', 'klaus'), name_edit(NULL, 'a')")
+    assert tuple(found.first()) == pytest.approx((1.0, 0.896825, 0.901333, 1.0), abs=1e-6)
+
+
+def test_sql_tables(spark):
+    from lautwerk import sql
+
+    lexicon = build(records.seed_records(spark))
+    sql.register(spark, lexicon)
+    heard = [(1, "Schmidt", "family"), (2, "schmidt", "given"), (3, "von Müller", "family"), (4, " ", "family"), (5, None, "family"), (6, "Müller", None)]
+    rows = spark.createDataFrame(heard, "query_id int, name string, kind string")
+    rows.createOrReplaceTempView("asked_names")
+    found = spark.sql("SELECT a.query_id, t.id, t.name FROM asked_names a, LATERAL name_lookup(a.name, a.kind) t ORDER BY 1").collect()
+    names = {r["norm"]: (r["id"], r["name"]) for r in lexicon.names.filter("kind = 'family'").collect()}
+    assert [tuple(r) for r in found] == [(k, *names[n]) for k, n in ((1, "schmidt"), (3, "mueller")) if n in names]
+    assert found
+    assert spark.sql("SELECT count(*) FROM lexicon_variants").first()[0] == lexicon.variants.count()
