@@ -137,7 +137,8 @@ def cologne_of(norm: Column) -> Column:
 
 
 def cologne(name: Column) -> Column:
-    return cologne_of(normalize(name))
+    """The Cologne code of a name; its comparison form is bound once, as code of a letter's lambda would compute it per letter."""
+    return F.get(F.transform(F.array(normalize(name)), cologne_of), 0)
 
 
 # Letter groups that are spelled as one.
