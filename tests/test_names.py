@@ -353,3 +353,31 @@ def test_sql_tables(spark):
     assert [tuple(r) for r in found] == [(k, *names[n]) for k, n in ((1, "schmidt"), (3, "mueller")) if n in names]
     assert found
     assert spark.sql("SELECT count(*) FROM lexicon_variants").first()[0] == lexicon.variants.count()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [match.BROADCAST_ROWS, 0])
+def test_candidates_stay_where_they_are(spark, names, monkeypatch, limit):
+    """No pair of a heard name and a candidate is dealt out again; a lexicon too large to be sent gives the same candidates."""
+    rows = [(1, "Schmit", "family"), (1, "Schmit", "family"), (2, "Meier", "family"), (3, "Xq", "given"), (4, "", "family"), (5, "Sofie", "given")]
+    heard = match.heard_keys(spark.createDataFrame(rows, "query_id long, name string, kind string"))
+    lex = names.lexicon
+    held = {(r["kind"], r["id"]): r for r in lex.names.collect()}
+    want = []
+    for q in heard.collect():
+        near = [
+            n for n in held.values()
+            if n["kind"] == q["kind"] and q["q_norm"] and (
+                n["norm"] == q["q_norm"] or n["skeleton"] == q["q_skeleton"] or n["cologne"] == q["q_cologne"]
+                or (n["norm"][:3] == q["q_norm"][:3] and abs(len(n["norm"]) - len(q["q_norm"])) <= 2)
+            )
+        ]
+        want += [(q["query_id"], q["kind"], n["id"], k) for k, n in enumerate(sorted(near, key=lambda n: (-n["prob"], n["id"])), 1)]
+    monkeypatch.setattr(match, "BROADCAST_ROWS", limit)
+    found = match.candidates(heard, lex)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and want
+    plan = _plan(found)
+    assert "Exchange" not in plan[: plan.index("posexplode")]
