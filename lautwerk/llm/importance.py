@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import CHUNK_BYTES, mix, words
-from ._shared import KEY_BITS, durable, spread_key, table
+from ._shared import KEY_BITS, durable, lean, spread_key, table
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -91,7 +91,7 @@ def gram_counts(docs: DataFrame, target: DataFrame) -> np.ndarray:
 
     flagged = docs.join(F.broadcast(target), F.col("doc_id") == F.col("id"), "left").select("text", F.col("id").isNotNull().alias("flag"))
     rows = (
-        flagged.mapInArrow(count, "bucket long, raw long, good long")
+        flagged.mapInArrow(lean(count), "bucket long, raw long, good long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
         .toPandas()  # BUCKETS rows at most

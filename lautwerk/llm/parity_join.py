@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import mix, shingle_set, words
-from ._shared import broadcast_if_small, drop, durable, join_spread
+from ._shared import broadcast_if_small, drop, durable, join_spread, lean
 
 #: Similarity in percent.
 PERCENT = 75
@@ -180,8 +180,8 @@ def frequent_shingles(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """The number of shards, the keys of frequent shingles, sorted, and their frequency classes (1 and up, by powers of 2)."""
     # a word has two bytes at least
     shards = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 8 // COUNT_SHARD)
-    blocks = docs.mapInArrow(_count_blocks(shards), "shard int, block binary").repartition(shards, "shard")
-    rows = blocks.mapInArrow(_count, "key long, n long").orderBy(F.desc("n"), "key").limit(FREQUENT_ROWS).toArrow()
+    blocks = docs.mapInArrow(lean(_count_blocks(shards)), "shard int, block binary").repartition(shards, "shard")
+    rows = blocks.mapInArrow(lean(_count), "key long, n long").orderBy(F.desc("n"), "key").limit(FREQUENT_ROWS).toArrow()
     key = np.array(rows.column(0).to_numpy(), np.int64).view(np.uint64)
     n = np.array(rows.column(1).to_numpy(), np.int64)
     order = np.argsort(key)
@@ -300,7 +300,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     out, held = ([], [], [], [], [], [], []), 0
             yield _sketch_batch(out)
 
-    return docs.mapInArrow(sketch, _SKETCH)
+    return docs.mapInArrow(lean(sketch), _SKETCH)
 
 
 def _sketch_batch(out) -> pa.RecordBatch:
@@ -488,7 +488,7 @@ def _block_pairs(members: DataFrame, sketched: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("members") / BLOCK_ROWS)
     rows = _in_block_pairs(both, "run", F.pmod(F.xxhash64("a"), blocks), blocks)
     columns = ["run", "i", "j", "right", "a", "component", "size", "place", "bits"]
-    return rows.select(*columns).mapInArrow(_near_in_blocks, "a long, b long").distinct()
+    return rows.select(*columns).mapInArrow(lean(_near_in_blocks), "a long, b long").distinct()
 
 
 # --- verification
@@ -515,7 +515,7 @@ def exact_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], ["id", "found"])
 
     picked = docs.join(broadcast_if_small(ids, BROADCAST_ROWS), F.col("doc_id") == F.col("id"), "left_semi")
-    return picked.select("doc_id", "text").mapInArrow(sets, "id long, found array<bigint>")
+    return picked.select("doc_id", "text").mapInArrow(lean(sets), "id long, found array<bigint>")
 
 
 def _close(batches):
@@ -542,7 +542,7 @@ def close_pairs(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
     left = sized.withColumnsRenamed({"doc_id": "a", "n_shingles": "size_a", "bits": "bits_a"})
     right = sized.withColumnsRenamed({"doc_id": "b", "n_shingles": "size_b", "bits": "bits_b"})
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "bits_a", "size_b", "bits_b")
-    return both.mapInArrow(_close, "a long, b long").distinct()
+    return both.mapInArrow(lean(_close), "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, sketched: DataFrame, candidates: DataFrame) -> DataFrame | None:
@@ -648,7 +648,7 @@ def link_counts(docs: DataFrame, members: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("sizes") / BLOCK_SHINGLES)
     both = many.join(sets, "id").filter(F.size("found") == F.col("size"))
     rows = _in_block_pairs(both, "component", F.pmod(F.xxhash64("id"), blocks), blocks)
-    found = rows.select("component", "i", "j", "right", "id", "docs", "size", "found").mapInArrow(_links_in_blocks, "id long, docs long")
+    found = rows.select("component", "i", "j", "right", "id", "docs", "size", "found").mapInArrow(lean(_links_in_blocks), "id long, docs long")
     return two.unionByName(found.groupBy("id").agg(F.sum("docs").alias("links")))
 
 
@@ -670,8 +670,8 @@ def link(docs: DataFrame) -> DataFrame:
     reps = sketched.filter("n_shingles > 0 and doc_id is not null").join(copies, ["doc_id", *name], "left_anti")
     lanes = sketched.agg(F.sum(F.octet_length("lanes"))).first()[0] or 0
     shards = max(1, -(-lanes // _LANE_BYTES // SHARD_LANES))
-    blocks = reps.select("doc_id", "n_shingles", "runs", "lanes").mapInArrow(_blocks(shards), "shard int, block binary")
-    found = durable(blocks.repartition(shards, "shard").mapInArrow(_runs, "run long, a long, b long, size long, place long"), "parity-runs")
+    blocks = reps.select("doc_id", "n_shingles", "runs", "lanes").mapInArrow(lean(_blocks(shards)), "shard int, block binary")
+    found = durable(blocks.repartition(shards, "shard").mapInArrow(lean(_runs), "run long, a long, b long, size long, place long"), "parity-runs")
     runs = found.filter("run is not null").select("run", "a", "size", "place")
     tested = durable(found.filter("run is null").select("a", "b").distinct(), "parity-pairs")
     links = verified(docs, sketched, tested)

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._hashing import mix, powers
+from ._shared import lean
 
 SPACE = "▁"
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6  # kinds of pieces in a model file
@@ -410,7 +411,7 @@ def coded(docs: DataFrame, path: str, *, decoded: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
                 begin, held = k + 1, 0
 
-    return docs.select(*kept, "text").mapInArrow(code, T.StructType(fields))
+    return docs.select(*kept, "text").mapInArrow(lean(code), T.StructType(fields))
 
 
 def model_path() -> str:
