@@ -54,10 +54,10 @@ def _bucket(code: np.ndarray, family: int) -> np.ndarray:
     return (mix(code ^ _FAMILIES[family]) >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1)
 
 
-def grams(texts: list[bytes]) -> Iterator[list[np.ndarray]]:
-    """Per text the buckets of its n-grams, in parts."""
+def grams(texts: list[bytes] | pa.Array | pd.Series) -> Iterator[list[np.ndarray]]:
+    """Per text the buckets of its n-grams, in parts; few texts are held as bytes at once."""
     for at in range(0, len(texts), 256):
-        part = texts[at : at + 256]
+        part = _texts(texts[at : at + 256])
         hashes, begins = words(part)
         for k, text in enumerate(part):
             w = hashes[begins[k] : begins[k + 1]]
@@ -65,8 +65,10 @@ def grams(texts: list[bytes]) -> Iterator[list[np.ndarray]]:
             yield [_bucket(w, 0), _bucket(pairs, 1), *_bytes_grams(text)]
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+def _texts(texts: list[bytes] | pa.Array | pd.Series) -> list[bytes]:
+    if isinstance(texts, pa.Array):
+        return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+    return [t.encode("utf-8", "replace") if isinstance(t, str) else t or b"" for t in texts]
 
 
 def gram_counts(docs: DataFrame, target: DataFrame) -> np.ndarray:
@@ -76,7 +78,7 @@ def gram_counts(docs: DataFrame, target: DataFrame) -> np.ndarray:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             flags = batch.column(1).to_pylist()
-            for flag, parts in zip(flags, grams(_texts(batch.column(0))), strict=True):
+            for flag, parts in zip(flags, grams(batch.column(0)), strict=True):
                 for part in parts:
                     n = np.bincount(part, minlength=BUCKETS) if len(part) > BUCKETS // 8 else None
                     if n is not None:
@@ -168,8 +170,7 @@ def classify(
     def weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ratio = ratios.value
         for texts in batches:
-            data = [(t or "").encode("utf-8", "replace") for t in texts]
-            yield pd.Series([float(sum(ratio[p].sum() for p in parts)) for parts in grams(data)], dtype="float64")
+            yield pd.Series([float(sum(ratio[p].sum() for p in parts)) for parts in grams(texts)], dtype="float64")
 
     uniform = (spread_key(F.col("doc_id")) + 0.5) / float(2**KEY_BITS)
     scored = durable(

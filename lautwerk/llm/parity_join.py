@@ -56,6 +56,8 @@ SMALL_SET = 15
 SMALL_RUN = 6
 #: Lanes of a shard, which one task sorts.
 SHARD_LANES = 1 << 18
+#: Bytes of packed lanes that a task passes on at once.
+BLOCK_BYTES = 4 << 20
 #: Members of a run that are compared with as many others at once, and the bits of their folded sketches.
 BLOCK_ROWS, FOLDED_BITS = 512, 512
 #: Shingles of a block of a component, on average.
@@ -67,17 +69,16 @@ _BAND_SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 _COLLAPSED_SEED = np.uint64(0x165667B19E3779F9)
 _ODD = np.uint64(0x2545F4914F6CDD1D)
 _LANE_BITS, _LANE_BYTES = np.uint64(48), 6
+_STEP = 1 << 16  # lanes whose hashes are held at once
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
     """Ids and shingle sets of a batch with columns ``doc_id text``."""
-    ids = batch.column(0).to_pylist()
-    texts = batch.column(1).cast(pa.binary()).to_pylist()
-    step = 256  # texts hashed together
-    for at in range(0, len(ids), step):
-        part = [t or b"" for t in texts[at : at + step]]
-        hashes, begins = words(part)
-        for k, doc in enumerate(ids[at : at + step]):
+    step = 256  # texts copied and hashed together
+    for at in range(0, len(batch), step):
+        part = batch.slice(at, step)
+        hashes, begins = words([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
+        for k, doc in enumerate(part.column(0).to_pylist()):
             yield doc, shingle_set(hashes[begins[k] : begins[k + 1]])
 
 
@@ -143,8 +144,10 @@ def _count_blocks(shards: int):
         held, size = [], 0
 
         def take():
-            keys = np.sort(np.concatenate(held))
-            ends = np.searchsorted(keys >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
+            ends = np.searchsorted(keys, np.arange(shards + 1, dtype=np.uint64) << np.uint64(32))
             used = np.flatnonzero(np.diff(ends))
             blocks = [_deltas(keys[ends[s] : ends[s + 1]] & np.uint64(0xFFFFFFFF)) for s in used]
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
@@ -155,7 +158,7 @@ def _count_blocks(shards: int):
                 size += len(held[-1])
                 if size >= COUNT_CHUNK:
                     yield take()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield take()
 
@@ -170,10 +173,14 @@ def _count(batches):
             parts.setdefault(shard, []).append(_undo_deltas(block).astype(np.uint32))
     while parts:
         shard, values = parts.popitem()
-        value, n = np.unique(np.concatenate(values), return_counts=True)
-        many = n >= FREQUENT
-        key = np.int64(shard) << 32 | value[many].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n[many].astype(np.int64))], ["key", "n"])
+        held = np.concatenate(values)
+        values.clear()
+        held.sort()
+        # what is there often enough is there again that many places on
+        often = np.unique(held[: -(FREQUENT - 1)][held[FREQUENT - 1 :] == held[: -(FREQUENT - 1)]])
+        n = np.searchsorted(held, often, "right") - np.searchsorted(held, often)
+        key = np.int64(shard) << 32 | often.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -313,35 +320,68 @@ def _sketch_batch(out) -> pa.RecordBatch:
 
 
 def _blocks(shards: int):
-    """Lanes of sets (``doc_id n_shingles runs lanes``), packed into one row per batch and shard."""
+    """Lanes of sets (``doc_id n_shingles runs lanes``), packed into one row per batch and shard.
+
+    A batch may have millions of lanes; of each only its shard, its set and its places are held, 18 bytes as measured."""
 
     def pack(batches):
         for batch in batches:
             ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             sizes = np.array(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
             runs = batch.column(2).flatten().to_numpy().astype(np.int64)
-            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, _LANE_BYTES)
+            raw = _values(batch.column(3)).reshape(-1, _LANE_BYTES)
             if not len(raw):
                 continue
-            lane = np.zeros((len(raw), 8), np.uint8)
-            lane[:, :_LANE_BYTES] = raw
-            lane = lane.view(np.uint64)[:, 0]
-            place = np.arange(len(raw)) - np.repeat(np.cumsum(runs) - runs, runs)
-            owner = np.repeat(np.arange(len(ids)), np.diff(np.concatenate(([0], np.cumsum(runs)))[batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()]))
-            shard = mix(lane) % np.uint64(shards)
+            # a run counts up to where the next begins; places above 65,535 count as that
+            place = np.ones(len(raw), np.int32)
+            begins = np.cumsum(runs) - runs
+            place[0], place[begins[1:]] = 0, 1 - runs[:-1]
+            place = np.minimum(np.cumsum(place, dtype=np.int32, out=place), 0xFFFF).astype(np.uint16)
+            ends = np.concatenate(([0], np.cumsum(runs)))[batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()]
+            owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(ends))
+            shard = np.empty(len(raw), np.int32)
+            for at in range(0, len(raw), _STEP):
+                shard[at : at + _STEP] = mix(_lanes(raw[at : at + _STEP])) % np.uint64(shards)
+            ends = np.cumsum(np.bincount(shard, minlength=shards))
             order = np.argsort(shard, kind="stable")
-            owner, place, raw = owner[order], np.minimum(place[order], 0xFFFF), raw[order]
-            ends = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-            used = np.flatnonzero(np.diff(ends))
-            packed = [_pack(raw[a:b], ids[owner[a:b]], sizes[owner[a:b]], place[a:b]) for a, b in zip(ends[used], ends[used + 1], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["shard", "block"])
+            del shard
+            used, packed, held = [], [], 0
+            for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+                at = order[ends[k - 1] if k else 0 : ends[k]]
+                used.append(k)
+                packed.append(_pack(raw[at], ids[owner[at]], sizes[owner[at]], place[at]))
+                held += len(packed[-1])
+                if held > BLOCK_BYTES:
+                    yield _block_batch(used, packed)
+                    used, packed, held = [], [], 0
+            if used:
+                yield _block_batch(used, packed)
 
     return pack
 
 
+def _block_batch(shards: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column without nulls, one value after the other, where they lie."""
+    at = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    data = column.buffers()[2]
+    begin, end = at[column.offset], at[column.offset + len(column)]
+    return np.frombuffer(data, np.uint8)[begin:end] if data is not None else np.zeros(0, np.uint8)
+
+
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """Rows of ``_LANE_BYTES`` bytes as numbers."""
+    lane = np.zeros((len(raw), 8), np.uint8)
+    lane[:, :_LANE_BYTES] = raw
+    return lane.view(np.uint64)[:, 0]
+
+
 def _pack(raw: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> bytes:
-    """Entries of a block, column by column; ids and sizes in half the width if they fit. Places above 65,535 count as that,
-    which only makes their bound less sharp."""
+    """Entries of a block, column by column; ids and sizes in half the width if they fit. Places are 65,535 at most,
+    which only makes the bound of those above less sharp."""
     base = int(ids.min())
     narrow = int(ids.max()) - base < 1 << 32 and int(sizes.max()) < 1 << 16
     kinds = (np.uint32, np.uint16) if narrow else (np.uint64, np.uint32)
@@ -356,9 +396,8 @@ def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
     for kind in (np.uint32, np.uint16, np.uint16) if narrow else (np.uint64, np.uint32, np.uint16):
         out.append(np.frombuffer(block, kind, n, at).astype(np.int64))
         at += out[-1].size * np.dtype(kind).itemsize
-    lane = np.zeros((n, 8), np.uint8)
-    lane[:, :_LANE_BYTES] = np.frombuffer(block, np.uint8, n * _LANE_BYTES, at).reshape(n, _LANE_BYTES)
-    return lane.view(np.uint64)[:, 0], out[0] + base, out[1], out[2]
+    lane = _lanes(np.frombuffer(block, np.uint8, n * _LANE_BYTES, at).reshape(n, _LANE_BYTES))
+    return lane, out[0] + base, out[1], out[2]
 
 
 def _runs(batches):

@@ -14,7 +14,7 @@ fewest penalties wins, then the fewest pieces. In a unigram model an arc costs i
 No arc spans two neighbouring characters that are neighbours in no piece, so a text is cut at all such places
 into units, and its path is that of its units, one after the other. A unit that is one piece is subject to the same
 rule: the piece must be what its own merges make. The texts of a batch are cut together, equal units are found by a hash
-and compared character by character, and each distinct one is composed once and kept in a bounded cache of the worker.
+and compared character by character, and each distinct one is composed once and kept in a bounded cache until the task ends.
 Decoding gathers the pieces' bytes over the batch and takes off the dummy prefix.
 
 Edge cases: null and empty texts have no pieces and decode to empty. Very long texts are taken in windows that end
@@ -46,7 +46,7 @@ BPE = 2
 #: Entries of a worker's caches, after which they begin anew, and the longest unit kept.
 UNITS, JOINTS, UNIT_CHARS = 1 << 18, 1 << 18, 64
 #: Characters that are cut and looked up together.
-WINDOW_CHARS = 1 << 20
+WINDOW_CHARS = 1 << 18
 
 
 class Transducer:
@@ -94,6 +94,10 @@ class Transducer:
         self.units: dict[str, bytes] = {}
         self.joints: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        """Empties the caches, which fill again as they are used."""
+        self.units, self.joints = {}, {}
+
     # --- the normaliser
 
     def normal(self, text: str) -> str:
@@ -396,20 +400,23 @@ def coded(docs: DataFrame, path: str, *, decoded: bool = False) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(path)
-        for batch in batches:
-            texts, begin, held = batch.column(len(kept)), 0, 0
-            sizes = texts.cast(pa.binary()).fill_null(b"")
-            for k, size in enumerate(pa.compute.binary_length(sizes).to_pylist()):
-                held += size
-                if held < WINDOW_CHARS and k < len(texts) - 1:
-                    continue
-                part = batch.slice(begin, k + 1 - begin)
-                ids, counts = fst.encode_all(part.column(len(kept)).to_pylist())
-                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                columns = [*part.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
-                columns += [fst.decode_all(ids, counts).cast(pa.string())] if decoded else []
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
-                begin, held = k + 1, 0
+        try:
+            for batch in batches:
+                texts, begin, held = batch.column(len(kept)), 0, 0
+                sizes = texts.cast(pa.binary()).fill_null(b"")
+                for k, size in enumerate(pa.compute.binary_length(sizes).to_pylist()):
+                    held += size
+                    if held < WINDOW_CHARS and k < len(texts) - 1:
+                        continue
+                    part = batch.slice(begin, k + 1 - begin)
+                    ids, counts = fst.encode_all(part.column(len(kept)).to_pylist())
+                    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                    columns = [*part.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+                    columns += [fst.decode_all(ids, counts).cast(pa.string())] if decoded else []
+                    yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+                    begin, held = k + 1, 0
+        finally:
+            fst.forget()  # the worker's next task may be another operator's
 
     return docs.select(*kept, "text").mapInArrow(lean(code), T.StructType(fields))
 

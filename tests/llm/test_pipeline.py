@@ -139,3 +139,98 @@ def _held():
     for _ in lean(step)(iter([pa.RecordBatch.from_arrays([pa.array([1])], ["x"])])):
         pass
     return before, pages()
+
+
+def _most(step, batch):
+    """The most bytes that a step holds at once beside its input, and what it gives."""
+    import gc
+    import tracemalloc
+
+    gc.collect()
+    tracemalloc.start()
+    try:
+        n, out = 0, step(iter([batch]))
+        for rows in out:
+            n += rows.num_rows
+            del rows
+        return tracemalloc.get_traced_memory()[1], n
+    finally:
+        tracemalloc.stop()
+
+
+def test_lanes_are_dealt_in_little_memory():
+    """A worker of near_duplicates holds about 18 bytes for each lane of a batch beside its input, where it held 70."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lautwerk.llm import parity_join
+
+    rng = np.random.default_rng(5)
+    runs = rng.integers(1, 400, (5000, 2))
+    raw = [rng.bytes(6 * int(n)) for n in runs.sum(1)]
+    columns = [np.arange(7, 5007), runs.sum(1), pa.array(runs.tolist(), pa.list_(pa.int32())), pa.array(raw, pa.binary())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "n_shingles", "runs", "lanes"])
+    lanes = int(runs.sum())
+    assert _most(parity_join._blocks(40), batch)[0] < 40 * lanes
+    # all lanes are there once, also of a slice
+    want = Counter()
+    for k in range(100, 300):
+        places = [*range(runs[k, 0]), *range(runs[k, 1])]
+        for j, place in enumerate(places):
+            want[int.from_bytes(raw[k][6 * j : 6 * j + 6], "little"), k + 7, len(places), place] += 1
+    found, shards = Counter(), {}
+    for out in parity_join._blocks(40)(iter([batch.slice(100, 200)])):
+        for shard, block in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            rows = list(zip(*(x.tolist() for x in parity_join._unpack(block)), strict=True))
+            found.update(rows)
+            assert all(shards.setdefault(r[0], shard) == shard for r in rows)
+    assert found == want
+
+
+def test_texts_are_copied_some_at_a_time():
+    import pyarrow as pa
+
+    from lautwerk.llm import parity_join
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_000)), pa.array(["word " * 400] * 20_000)], ["doc_id", "text"])  # 40 MB
+
+    def step(batches):
+        for b in batches:
+            for _ in parity_join._sets(b):
+                pass
+            yield b
+
+    assert _most(step, batch)[0] < 40_000_000
+
+
+def test_frequent_shingles_are_counted_in_little_memory():
+    import numpy as np
+    import pyarrow as pa
+
+    from lautwerk.llm import parity_join
+
+    rng = np.random.default_rng(6)
+    value = np.sort(np.concatenate((rng.integers(0, 1 << 32, 1_000_000), np.repeat(rng.integers(0, 1 << 32, 1000), rng.integers(2, 30, 1000)))))
+    batch = pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([parity_join._deltas(value.astype(np.uint64))])], ["shard", "block"])
+    kinds, n = np.unique(value, return_counts=True)
+    many = n >= parity_join.FREQUENT
+    rows = pa.Table.from_batches(parity_join._count(iter([batch])))
+    assert dict(zip(rows["key"].to_pylist(), rows["n"].to_pylist(), strict=True)) == dict(zip((kinds[many] + (3 << 32)).tolist(), n[many].tolist(), strict=True))
+    few = batch.slice(0, 0), pa.RecordBatch.from_arrays([batch.column(0), pa.array([parity_join._deltas(value[:5].astype(np.uint64))])], batch.schema.names)
+    assert [r.num_rows for b in few for r in parity_join._count(iter([b]))] == [0]
+
+
+def test_codec_keeps_no_cache_after_its_task(spark):
+    pytest.importorskip("public_tokenizers")
+    docs = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string").repartition(1)
+    piece_codec.coded(docs, piece_codec.model_path()).collect()
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.units) + len(t.joints) for t in piece_codec._transducers.values())])], ["n"])
+
+    # workers are used again, so those that coded are among these
+    assert {r["n"] for r in spark.range(8, numPartitions=8).mapInArrow(held, "n long").collect()} == {0}
